@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ans_store, bpe, token_counts, work
+from . import ans_store, bpe, decontaminate, ecoc_lang, token_counts, work
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,16 +20,33 @@ def op4_ans_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ans_store.read_store(spark, folder)
 
 
+def _fold(n: int):
+    """crc32 of doc_id as text, modulo n."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % n
+
+
+def op5_ecoc_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).withColumn("held_out", _fold(3) == 1)
+    model = ecoc_lang.fit(docs.where(~F.col("held_out")))
+    return ecoc_lang.predict(docs, model, keep=["doc_id", "held_out"])
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_documents(spark, sf_dir))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    scanned = decontaminate.scan(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.judge(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_ans_store, op6_token_counts, op10_byte_bpe)
+    f.__name__: f for f in (op4_ans_store, op5_ecoc_lang, op6_token_counts, op7_decontaminate, op10_byte_bpe)
 }
 
 ORACLES: dict[str, str] = {}
