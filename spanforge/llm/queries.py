@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans_store, bpe, decontaminate, ecoc_lang, quality_rules, token_counts, work
+from . import ans_store, bpe, decontaminate, ecoc_lang, lattice_lm, quality_rules, token_counts, work
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "failed_rules", "kept")
 
 
+def op3_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(_documents(spark, sf_dir), _fold(10) != 0)
+
+
 def op4_ans_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work.folder(spark)
     ans_store.write_store(_documents(spark, sf_dir), folder)
@@ -51,7 +55,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_ans_store, op5_ecoc_lang, op6_token_counts, op7_decontaminate, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op3_lattice_lm, op4_ans_store, op5_ecoc_lang, op6_token_counts, op7_decontaminate, op10_byte_bpe)
 }
 
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle()}
