@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ans_store, bpe, decontaminate, ecoc_lang, lattice_lm, quality_rules, token_counts, work
+from . import ans_store, bpe, decontaminate, ecoc_lang, lattice_lm, near_dup, quality_rules, token_counts, work
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,12 +50,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(scanned).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_documents(spark, sf_dir))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_lattice_lm, op4_ans_store, op5_ecoc_lang, op6_token_counts, op7_decontaminate, op10_byte_bpe)
+    f.__name__: f for f in (op1_quality_rules, op3_lattice_lm, op4_ans_store, op5_ecoc_lang, op6_token_counts, op7_decontaminate, op9_near_dup, op10_byte_bpe)
 }
 
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules.oracle()}

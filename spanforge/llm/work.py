@@ -31,3 +31,24 @@ def table(df: DataFrame) -> DataFrame:
     path = folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: A key is hot from this share of all rows on; so at most as many keys as its inverse are hot.
+HOT_SHARE = 1 / 2000
+HOT_LEAST = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], count: str, rows: int, how: str = "inner") -> DataFrame:
+    """left joined to right on keys that are unique in right and never null.
+
+    `count` of right says how many of left's `rows` rows have the key. Hot keys,
+    at most 1 / HOT_SHARE, are broadcast; the rest is joined by shuffle, in
+    which every key is rare.
+    """
+    from pyspark.sql import functions as F
+
+    hot = right.where(F.col(count) >= max(HOT_LEAST, int(rows * HOT_SHARE)))
+    cold = right.where(F.col(count) < max(HOT_LEAST, int(rows * HOT_SHARE)))
+    small = F.broadcast(hot)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return left.join(small, keys).unionByName(rest.join(cold, keys, how))
