@@ -157,7 +157,9 @@ def keep(docs: DataFrame) -> DataFrame:
         raise ValueError("a column would clash with the counts")
     counts = work.table(with_stats(rows.select("lang", "source", "__text"), "__text").drop("__text"))
     fences = work.table(thresholds(sketches(counts)))
-    return verdicts(with_stats(rows, "__text"), fences).where("kept").select(*names)
+    # A filter on the verdict must not move below the counts: it would copy their expressions into its lambdas.
+    judged = verdicts(with_stats(rows, "__text").withColumn("__fence", F.monotonically_increasing_id()), fences)
+    return judged.where(F.col("kept") & (F.col("__fence") >= 0)).select(*names)
 
 
 def oracle(table: str = "documents") -> str:
