@@ -1,12 +1,61 @@
-"""Corpus pipeline: language ID, quality rules, near-duplicates, decontamination, byte-level BPE."""
+"""Corpus pipeline: language ID, quality rules, near-duplicates, decontamination, byte-level BPE.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next one's docs.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spanforge.llm import bpe, decontaminate, ecoc_lang, near_dup, quality_rules, work
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a language: those without letters or text. Fitted on its own labelled input."""
+    rows = docs.select(*COLUMNS)
+    model = ecoc_lang.fit(rows)
+    named = ecoc_lang.predict(rows.withColumn("__body", F.col("text")), model, text="__body", keep=list(COLUMNS))
+    return named.where(F.col("lang_pred") != ecoc_lang.UNDETERMINED).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.keep(docs.select(*COLUMNS))
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of least id of each group of near-duplicates."""
+    rows = docs.select(*COLUMNS)
+    gone = near_dup.near_duplicates(rows).where(~F.col("kept")).select("doc_id").distinct()
+    return rows.join(work.table(gone), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    scanned = decontaminate.scan(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.judge(scanned).where(~F.col("contaminated")).select(*COLUMNS)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality),
+    ("near_dup", dedup),
+    ("decontaminate", benchmark_free),
+    ("byte_bpe", encoded),
+]
 
-STAGES: list = []
+#: Language ID and MinHash cannot be expressed in SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = work.table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
