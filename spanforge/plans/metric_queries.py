@@ -240,7 +240,7 @@ def boundary_raster(spark, sf):
 
     g = grid(spark, sf).withColumns({"times": planning.sample_times(F.col("s"), F.col("e"), 6, "center"), "start_s": F.col("s") + F.col("source_id") % 9, "end_s": F.col("e") - 1, "start_valid": F.lit(True), "end_valid": F.col("window_index") % 2 == 0})
     r = targets.rasterize(g, 3.0)
-    return r.groupBy("source_id", "boundary").agg(F.sum("value").alias("ones"), F.sum(F.when(F.col("valid"), 1).otherwise(0)).alias("cells"), F.count("*").alias("frames"))
+    return r.groupBy("source_id", "boundary").agg(F.coalesce(F.sum("value"), F.lit(0)).alias("ones"), F.sum(F.when(F.col("valid"), 1).otherwise(0)).alias("cells"), F.count("*").alias("frames"))
 
 
 def _raster_sql():
@@ -249,7 +249,7 @@ def _raster_sql():
     return f"""with {_GRID}, c as (select source_id, window_index, s, e, 'start' boundary, s + source_id % 9 t from g union all select source_id, window_index, s, e, 'end', case when window_index % 2 = 0 then e - 1 end from g),
  f as (select *, abs(s + (j + 0.5) * (e - s) / 6 - t) d, j from c, (select unnest(range(6)) j)), m as (select *, min(d) over (partition by source_id, window_index, boundary) md from f),
  k as (select *, coalesce(md <= 3 + 1e-9, false) ok, row_number() over (partition by source_id, window_index, boundary order by round(d, 9), j) r from m)
- select source_id, boundary, sum(case when ok then (r = 1)::int end)::bigint ones, sum(ok::int)::bigint cells, count(*) frames from k group by source_id, boundary"""
+ select source_id, boundary, coalesce(sum(case when ok then (r = 1)::int end), 0)::bigint ones, sum(ok::int)::bigint cells, count(*) frames from k group by source_id, boundary"""
 
 
 def contrastive_loss(spark, sf):

@@ -214,7 +214,7 @@ def top_control(spark, sf):
 
 def low_activity_proxy(spark, sf):
     o = _occupied(spark, sf).withColumn("kind", intervals.occupancy_class(GRID.keep_occupancy))
-    return o.groupBy(curation.low_activity(F.col("kind"), F.col("occupancy")).alias("issue")).agg(F.count("*").alias("n"))
+    return o.groupBy(F.coalesce(curation.low_activity(F.col("kind"), F.col("occupancy")).cast("string"), F.lit("unknown")).alias("issue")).agg(F.count("*").alias("n"))
 
 
 def nearest_window(spark, sf):
@@ -245,7 +245,7 @@ QUERIES = {
     "short_to_review": (_segments(_REVIEWED), _segment_sql(_REVIEWED)),
     "segment_members": (segment_members, f"{_compiled(POLICY)} select d.source_id, segment_index::int segment_index, idx::int idx from done d join c2_m m on d.source_id = m.source_id and d.s = m.s"),
     "decision_counts": (decision_counts, f"with {_routed(POLICY)} select decision, count(rt.route) n from (values ('keep', 'KEEP'), ('review', 'REVIEW'), ('discard', 'REJECT')) v(route, decision) left join rt using (route) group by decision"),
-    "routed_seconds": (routed_seconds, f"{_compiled(POLICY)} select route, count(*) segments, floor(sum(e - s) * 1e3 + 0.5) / 1e3 AS "seconds" from done group by route"),
+    "routed_seconds": (routed_seconds, f"{_compiled(POLICY)} select route, count(*) segments, floor(sum(e - s) * 1e3 + 0.5) / 1e3 AS seconds from done group by route"),
     "segment_ids": (segment_ids, f"with {bridge.SCORES}, m as (select source_id, max(floor(s)) e from w group by source_id) select source_id, sha256(encode(source_id::varchar) || '\\x00'::blob || encode('model@1') || '\\x00'::blob || encode('0.000000000') || '\\x00'::blob || encode(printf('%.9f', e)) || '\\x00'::blob || encode('keep')) segment_id from m"),
     "window_plan": (window_plan, f"with {_GRID} select source_id, window_index::bigint window_index, s, e, tail from g"),
     "sample_times_center": (_sample_times("center", 6), _sample_sql("s + (j + 0.5) * (e - s) / 6", 6)),
@@ -257,7 +257,7 @@ QUERIES = {
     "occupancy_boundaries": (occupancy_boundaries, f"with {_GRID}, b as (select g.source_id, g.window_index, min(case when a between s and e then a end) x, max(case when b between s and e then b end) y from g left join act on g.source_id = act.source_id group by all) select source_id, window_index::bigint window_index, {sql6('x')} first_start, {sql6('y')} last_end, x is not null and coalesce(y >= x, true) start_valid, y is not null and coalesce(y >= x, true) end_valid from b"),
     "even_cap": (capped_windows, f"with {_GRID}, k as (select *, {_KIND} kind from oc), r as (select *, row_number() over (partition by source_id, kind order by s, e, window_index) - 1 i, count(*) over (partition by source_id, kind) n from k) select source_id, kind, window_index::bigint window_index from r where n <= 5 or list_contains([(n - 1) * q // 4 for q in range(5)], i)"),
     "top_control": (top_control, f"with {_GRID}, k as (select source_id, window_index, s, {sql6('occupancy')} o, {_KIND} kind from oc) select source_id, window_index::bigint window_index, o occupancy from k where kind = 'KEEP' qualify row_number() over (partition by source_id order by o desc, s, window_index) = 1"),
-    "low_activity_proxy": (low_activity_proxy, f"with {_GRID}, k as (select occupancy, {_KIND} kind from oc) select case when kind = 'KEEP' then false when kind = 'REJECT' and occupancy = 0 then true end issue, count(*) n from k group by 1"),
+    "low_activity_proxy": (low_activity_proxy, f"with {_GRID}, k as (select occupancy, {_KIND} kind from oc) select case when kind = 'KEEP' then 'false' when kind = 'REJECT' and occupancy = 0 then 'true' else 'unknown' end issue, count(*) n from k group by 1"),
     "nearest_window": (nearest_window, f"with {_GRID}, pt as (select source_id, max(a) t from act group by source_id) select source_id, window_index::bigint window_index from pt join g using (source_id) qualify row_number() over (partition by source_id order by abs((s + e) / 2 - t), s, window_index) = 1"),
     "frame_spans": (frame_spans, f"""with {bridge.TIMED}, fr as (select source_id, idx, idx * 0.5 ts, event_type, k // 25 hand from t),
  ch as (select *, sum(c) over (partition by source_id order by idx rows unbounded preceding) span from (select *, case when lag(idx) over w is not null and lag(event_type) over w is not distinct from event_type and lag(hand) over w is not distinct from hand then 0 else 1 end c from fr window w as (partition by source_id order by idx))),
