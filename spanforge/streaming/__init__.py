@@ -1,0 +1 @@
+"""Extension: provisional routing of a stream of scored windows."""
