@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from . import work
 
 #: Rule, slack in basis points, fewest events that it takes.
-RULES = (("symbol", 300, 5), ("dup_line", 4000, 3), ("repeat", 2500, 9), ("upper", 2000, 20))
+RULES = (("symbol", 300, 5), ("dup_line", 4000, 3), ("repeat", 4000, 9), ("upper", 2000, 20))
 SPREAD = 6
 #: Documents that a group's own sketch needs.
 LEAST = 200
