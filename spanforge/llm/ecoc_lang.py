@@ -134,12 +134,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     if {"lang_pred", "score", "ambiguous"} & set(keep):
         raise ValueError("a kept column would clash with the result")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS x bits floats
+    body = text if text in keep else "__text"  # a kept text travels once
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.languages, UNDETERMINED], dtype=object)
-        for batch, _, _ in spans.chunks(batches, "__text"):
-            column = batch.column(batch.schema.get_field_index("__text")).fill_null("")
+        for batch, _, _ in spans.chunks(batches, body):
+            column = batch.column(batch.schema.get_field_index(body)).fill_null("")
             letters = pc.match_substring_regex(column, r"\p{L}").to_numpy(zero_copy_only=False)
             rows = len(column)
             grams, at = _features(column)
@@ -163,6 +164,6 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
             made = [pa.array(names[best], pa.string()), pa.array(np.where(letters, score, 0.0), pa.float64()), pa.array(unsure | ~letters, pa.bool_())]
             yield pa.RecordBatch.from_arrays([x for _, x in kept] + made, names=[x for x, _ in kept] + ["lang_pred", "score", "ambiguous"])
 
-    rows = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
+    rows = docs.select(*[docs[c] for c in keep], *([] if body == text else [docs[text].alias("__text")]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "lang_pred string, score double, ambiguous boolean"])
     return rows.mapInArrow(run, schema)
