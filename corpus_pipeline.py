@@ -18,7 +18,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: those without letters or text. Fitted on its own labelled input."""
     rows = docs.select(*COLUMNS)
     model = ecoc_lang.fit(rows)
-    named = ecoc_lang.predict(rows.withColumn("__body", F.col("text")), model, text="__body", keep=list(COLUMNS))
+    named = ecoc_lang.predict(rows, model, keep=list(COLUMNS))
     return named.where(F.col("lang_pred") != ecoc_lang.UNDETERMINED).select(*COLUMNS)
 
 
