@@ -60,7 +60,6 @@ def timestamp_text(x: Column) -> Column:
 def duration_text(x: Column) -> Column:
     """m:ss.s, or h:mm:ss.s from an hour on; a dash for what is no duration."""
     tenths = F.floor(x * 10 + 0.5)
-    h, m, s = F.expr("0"), None, None
     h = F.floor(tenths / 36000)
     m = F.floor(tenths / 600) % 60
     s = (tenths % 600) / 10.0
@@ -94,3 +93,15 @@ def learning_rate(step: Column, total: int, warmup: int, peak: float) -> Column:
     rise = (step + 1) / float(max(1, warmup))
     fall = (total - step) / float(max(1, total - warmup))
     return F.lit(peak) * F.when(step < warmup, rise).otherwise(F.greatest(F.lit(0.0), fall))
+
+
+def local_path(text: Column) -> Column:
+    """Whether a string names a place on one machine: absolute, home, file URL or drive."""
+    return F.coalesce(text.rlike(r"^(/|~|file://|[A-Za-z]:[\\/])"), F.lit(False))
+
+
+def json_strings(document: Column) -> Column:
+    """All string values of a JSON text, at any depth (escapes undone)."""
+    quoted = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    values = F.filter(quoted, lambda x: x.endswith('"'))
+    return F.transform(values, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))

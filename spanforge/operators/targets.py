@@ -22,6 +22,12 @@ def rasterize(windows: DataFrame, tolerance: float) -> DataFrame:
     return out.select("source_id", "window_index", "boundary", "frame", F.when(F.col("valid"), (F.col("frame") == F.col("frame_hit")).cast("int")).alias("value"), "valid")
 
 
+def best_frame(probabilities: Column, least: float) -> Column:
+    """Index of the first largest value of an array if it is at least `least`, else null."""
+    top = F.array_max(probabilities)
+    return F.when(top >= least, F.array_position(probabilities, top) - 1)
+
+
 def masked_bce(logit: Column, target: Column, weight: float = 1.0) -> Column:
     """Aggregate: mean binary cross-entropy of the valid (non-null) cells, positives weighted; 0 without any."""
     soft = F.greatest(logit, F.lit(0.0)) + F.log1p(F.exp(-F.abs(logit)))

@@ -322,7 +322,46 @@ def window_violations(spark, sf):
     return audit.window_scores(w).groupBy("rule").agg(F.count("*").alias("n"))
 
 
+def best_boundary_frame(spark, sf):
+    e = bridge.read(spark, sf, "embeddings")
+    p = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor((x.cast("double") + 1) * 10 + 0.5) / 20)
+    return e.select("vec_id", F.coalesce(targets.best_frame(p, 0.6).cast("long"), F.lit(-1)).alias("frame"))
+
+
+def duration_text(spark, sf):
+    o = bridge.read(spark, sf, "orders").select(F.floor("o_totalprice").cast("double").alias("x"))
+    return o.groupBy(exprs.duration_text(F.col("x") / 10).alias("text")).agg(F.count("*").alias("n"))
+
+
+def local_paths(spark, sf):
+    o = bridge.read(spark, sf, "orders").select("o_orderkey", F.to_json(F.struct(F.lit("a/b").alias("ok"), F.array(F.struct(F.when(F.col("o_orderkey") % 3 == 0, F.lit("/abs/x")).when(F.col("o_orderkey") % 3 == 1, F.lit("~/x")).otherwise(F.lit("rel/x")).alias("p"))).alias("deep"))).alias("doc"))
+    bad = F.exists(exprs.json_strings(F.col("doc")), lambda x: exprs.local_path(x))
+    return o.groupBy(bad.alias("local")).agg(F.count("*").alias("n"))
+
+
+def recompute_audit(spark, sf):
+    from ..operators import audit
+
+    o = bridge.read(spark, sf, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("v"))
+    stated = o.withColumn("v", F.when(F.col("o_custkey") % 50 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    return audit.recomputed(stated, o, "o_custkey", "v", "metric").select("key", "rule")
+
+
+def release_audit(spark, sf):
+    from . import adapters
+
+    e = _examples(spark, sf)
+    split = e.select(F.col("o_orderkey").alias("id"), F.col("grp").alias("group_id"), F.when(F.col("grp") % 10 == 0, "test").when(F.col("grp") % 10 == 1, "validation").otherwise("train").alias("split"))
+    p = split.where("split = 'test' and id % 7 <> 0").select("id", "group_id", F.when(F.col("id") % 2 == 0, "human").otherwise("unlabeled").alias("readiness_kind"), (F.col("id") % 4 == 0).alias("readiness_valid"), F.lit("human").alias("issue_kind"), F.lit(True).alias("issue_valid"), F.lit(None).cast("string").alias("boundary_kind"), F.lit(False).alias("boundary_valid"), (F.col("id") % 5).alias("review_count"), F.lit("r").alias("rubric"))
+    return adapters.release_violations(split, p).groupBy("rule").agg(F.count("*").alias("n"))
+
+
 QUERIES = {
+    "best_boundary_frame": (best_boundary_frame, "with p as (select vec_id, [floor((x::double + 1) * 10 + 0.5) / 20 for x in embedding[1:12]] p from embeddings) select vec_id, case when list_max(p) >= 0.6::double then list_position(p, list_max(p)) - 1 else -1 end::bigint frame from p"),
+    "duration_text": (duration_text, "with t as (select floor(o_totalprice)::bigint t from orders) select case when t >= 36000 then printf('%d:%02d:%02d.%d', t // 36000, t // 600 % 60, t % 600 // 10, t % 10) else printf('%d:%02d.%d', t // 600, t % 600 // 10, t % 10) end \"text\", count(*) n from t group by 1"),
+    "local_paths": (local_paths, "select o_orderkey % 3 < 2 \"local\", count(*) n from orders group by 1"),
+    "recompute_audit": (recompute_audit, "select distinct o_custkey::varchar key, 'recompute' rule from orders where o_custkey % 50 = 0"),
+    "release_audit": (release_audit, "select 'missing' rule, count(*) n from orders where o_custkey % 10 = 0 and o_orderkey % 7 = 0 union all select 'review', count(*) from orders where o_custkey % 10 = 0 and o_orderkey % 7 <> 0 and o_orderkey % 2 = 0 and o_orderkey % 5 < 2"),
     "softmax_entropy": (softmax_entropy, _SOFT),
     "argmax_decision": (argmax_decision, f"with {_P} select vec_id, ['KEEP', 'REVIEW', 'REJECT'][pred + 1] decision from q"),
     "confusion": (confusion, f"with {_P}, d as (select * from (values (0), (1), (2)) a(t), (values (0), (1), (2)) b(p)) select t \"true\", p pred, count(q.vec_id) n from d left join q on q.y = t and q.pred = p group by t, p"),
