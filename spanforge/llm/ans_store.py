@@ -103,7 +103,7 @@ def _decode_blocks(states: np.ndarray, words: np.ndarray, first: np.ndarray, ste
         word = padded[at + rank - need]
         x = np.where(need, (x << np.uint64(16)) | word, x)
         at += rank[:, -1:]
-    return np.repeat(np.arange(len(freq)), freq)[slots.transpose(1, 0, 2)]
+    return np.repeat(np.arange(len(freq), dtype=np.uint16), freq)[slots.transpose(1, 0, 2)]
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -111,7 +111,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byte
     n = len(ids)
     symbols, freq = frequencies(ids) if n else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     cum = np.cumsum(freq) - freq
-    of = np.zeros(int(symbols[-1]) + 1 if n else 1, np.int64)
+    of = np.zeros(int(symbols[-1]) + 1 if n else 1, np.uint16)
     of[symbols] = np.arange(len(symbols))
     index = of[ids]
     shapes = [(0, n // BLOCK, BLOCK // LANES)] if n >= BLOCK else []
@@ -120,7 +120,7 @@ def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> byte
     directory, payload = [], []
     for at, blocks, steps in shapes:
         part = index[at : at + blocks * steps * LANES]
-        part = np.concatenate([part, np.full(blocks * steps * LANES - len(part), int(np.argmax(freq)))])
+        part = np.concatenate([part, np.full(blocks * steps * LANES - len(part), int(np.argmax(freq)), np.uint16)])
         states, words = _encode_blocks(np.ascontiguousarray(part.reshape(blocks, steps, LANES).transpose(1, 0, 2)), freq, cum)
         for b in range(blocks):
             begin = at + b * BLOCK
