@@ -17,8 +17,10 @@ similarity 0.85 shares no band with probability 8e-6 and is underestimated by
 0.15 with probability 4e-6; both fall fast for closer pairs.
 
 Defined results: without words or text the set is empty and links with nothing;
-fewer than five words are one shingle; exact copies are always linked; rows
-with the same doc_id are one node; rows without doc_id are not allowed.
+fewer than five words are one shingle; exact copies are always linked; a row
+without doc_id links with nothing and stays, without component; rows of one
+doc_id are one node, for which, if their words differ, those of the least
+fingerprint stand; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -236,26 +238,29 @@ def _chunked(members: DataFrame, chunks) -> DataFrame:
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """node and its shingle set, for the rows whose id is among nodes (unique)."""
+    """node, f1, f2 and the shingle set of the rows whose id is among nodes (unique)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("node"), F.col(text).alias("__text"))
     some = rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_CLASSES else nodes, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offsets in spans.chunks(batches, "__text"):
-            s, at, _, _ = shingle_sets(buf, offsets)
+            s, at, f1, f2 = shingle_sets(buf, offsets)
             made = [s[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f1), pa.array(f2), pa.array(made, pa.binary())], names=["node", "f1", "f2", "shingles"])
 
-    return some.mapInArrow(run, "node long, shingles binary")
+    return some.mapInArrow(run, "node long, f1 long, f2 long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept of every row."""
-    all_rows = work.table(sketch(docs, text, doc_id))
-    total = all_rows.count()
+    every = work.table(sketch(docs, text, doc_id))
+    total = every.count()
+    all_rows = every.where("doc_id is not null")
     by_words = all_rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
     classes = work.table(by_words)
-    own = all_rows.select(F.col("doc_id").alias("node"), "f1", "f2", "bands", "signature").join(classes.select("node", "f1", "f2"), ["node", "f1", "f2"], "left_semi").dropDuplicates(["node"])
+    # The class that stands for each node; more than one only where a doc_id repeats with other words.
+    chosen = classes.groupBy("node").agg(F.min(F.struct("f1", "f2", "n")).alias("c")).select("node", "c.*")
+    own = all_rows.select(F.col("doc_id").alias("node"), "f1", "f2", "bands", "signature").join(chosen.select("node", "f1", "f2"), ["node", "f1", "f2"], "left_semi").dropDuplicates(["node"])
     heads = work.table(own.select("node", "bands", "signature"))
     # Buckets with more than one class.
     keys = heads.select("node", F.explode("bands").alias("g"))
@@ -265,12 +270,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     close = pieces.select("g", "i", "j", "node", "signature").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     groups = work.table(components(close.mapInArrow(_by_signature, "a long, b long")))
     # Exact similarities within candidate groups.
-    sized = groups.join(classes.select("node", "n"), "node")
+    sized = groups.join(chosen, "node")
     sizes = work.table(sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total")))
     placed = work.join_hot(sized, sizes, ["component"], "size", total).withColumnRenamed("component", "g")
-    sets = _texts_of(docs, groups.select("node"), text, doc_id).dropDuplicates(["node"])
+    sets = _texts_of(docs, groups.select("node"), text, doc_id).dropDuplicates(["node", "f1", "f2"])
     chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES))
-    exact = _chunked(placed.select("g", "node", "size", "total").join(sets, "node"), chunks)
+    exact = _chunked(placed.select("g", "node", "f1", "f2", "size", "total").join(sets, ["node", "f1", "f2"]), chunks)
     exact = exact.select("g", "i", "j", "node", "shingles").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
     linked = work.table(components(exact.mapInArrow(_by_sets, "a long, b long")))
     named = classes.join(linked, "node", "left").select("f1", "f2", "copies", F.coalesce("component", "node").alias("component_id"))
@@ -278,4 +283,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     some = work.join_hot(all_rows.where("n_shingles > 0").select("doc_id", "n_shingles", "f1", "f2"), named, ["f1", "f2"], "copies", total)
     alone = all_rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = some.select("doc_id", "n_shingles", "component_id").unionByName(alone)
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    nameless = every.where("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id")).unionByName(nameless)

@@ -247,3 +247,22 @@ def test_urls(spark):
         assert got == {i: m for i, (_, _, m) in enumerate(cases)}
     url_lists.BROADCAST_VALUES = 200_000
     assert url_lists.evaluate(df.limit(0), events).count() == 0
+
+
+def test_odd_rows_of_near_duplicates(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text), (None, text), (1, text), (1, text), (5, "other words"), (5, "still others here"), (2, text + " more"), (3, None), (3, "")]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    want = [(None, 36, None, True)] * 2 + [(1, 36, 1, True)] * 2 + [(2, 37, 1, False), (5, 1, 5, True), (5, 1, 5, True), (3, 0, 3, True), (3, 0, 3, True)]
+    assert got == sorted(want, key=str)
+
+
+def test_empty_tables(spark, tmp_path):
+    from spanforge.llm import ans_store
+
+    none = spark.createDataFrame([], SCHEMA + ", n_words string, kept int")
+    assert near_dup.near_duplicates(none).count() == 0
+    assert quality_rules.apply(none).count() == 0
+    assert lattice_lm.score(none, F.lit(True)).count() == 0
+    ans_store.write_store(none, str(tmp_path / "s"))
+    assert ans_store.read_store(spark, str(tmp_path / "s")).count() == 0
