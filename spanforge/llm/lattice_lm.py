@@ -77,21 +77,18 @@ class Lattice:
     def word(self, word: bytes) -> float:
         """log10 of the summed probability of all segmentations of one word."""
         text = "▁" + word.decode()
-        get, n = self.pieces.get, len(text)
-        forward = [-math.inf] * (n + 1)
-        forward[0] = 0.0
-        exp, log1p = math.exp, math.log1p
-        longest = self.longest
-        for i in range(n):
-            a = forward[i]
-            ways = [(i + 1, sum([self.spell[b] for b in text[i].encode()]))]
-            ways += [(j, p) for j in range(i + 1, min(n, i + longest) + 1) if (p := get(text[i:j])) is not None]
-            for j, p in ways:
-                x, y = a + p, forward[j]
-                if x > y:
-                    x, y = y, x
-                forward[j] = y + log1p(exp(x - y)) if x > -math.inf else y
-        return forward[n] / _LN10
+        get, longest, spell = self.pieces.get, self.longest, self.spell
+        exp, log = math.exp, math.log
+        forward = [0.0]
+        for j, c in enumerate(text, 1):
+            ways = [forward[i] + p for i in range(j - longest if j > longest else 0, j) if (p := get(text[i:j])) is not None]
+            ways.append(forward[-1] + (spell[ord(c)] if c < "\x80" else sum([spell[b] for b in c.encode()])))
+            if len(ways) == 1:
+                forward.append(ways[0])
+            else:
+                top = max(ways)
+                forward.append(top + log(sum([exp(x - top) for x in ways])))
+        return forward[-1] / _LN10
 
 
 def fit_lattice(counts: DataFrame, path: str | None = None) -> Lattice:
