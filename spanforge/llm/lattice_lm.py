@@ -91,6 +91,92 @@ class Lattice:
         return forward[-1] / _LN10
 
 
+class LatticeTable:
+    """The same recursion for many words at once, as array operations.
+
+    Pieces of each length are found by the hash of their characters: a bit
+    filter, then a sorted array; a second hash confirms, so that scores don't
+    hang on a collision.
+    """
+
+    BITS = 18
+
+    def __init__(self, lattice: Lattice):
+        self.lattice = lattice
+        self.by_length = {}
+        groups: dict[int, list[str]] = {}
+        for p in lattice.pieces:
+            groups.setdefault(len(p), []).append(p)
+        for size, some in sorted(groups.items()):
+            points = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32).reshape(len(some), size)
+            h, g = (self._prefixes(points, k)[:, -1] for k in (0, 1))
+            order = np.argsort(h)
+            if (h[order][1:] == h[order][:-1]).any():
+                raise ValueError("two pieces share a hash")
+            bits = np.zeros(1 << self.BITS, bool)
+            bits[self._slot(h)] = True
+            self.by_length[size] = (bits, h[order], g[order], np.array([lattice.pieces[p] for p in some])[order])
+
+    @classmethod
+    def _slot(cls, h: np.ndarray) -> np.ndarray:
+        return (h * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - cls.BITS)).astype(np.int64)
+
+    @staticmethod
+    def _prefixes(points: np.ndarray, k: int) -> np.ndarray:
+        """Polynomial hashes of the first 0, 1, ... characters of each row."""
+        power, _ = spans.powers(k, points.shape[1] + 1)
+        out = np.zeros((len(points), points.shape[1] + 1), np.uint64)
+        np.cumsum(spans.mix(points.astype(np.uint64) + np.uint64(1 + k * 0x110000)) * power[: points.shape[1]], axis=1, out=out[:, 1:])
+        return out
+
+    def _scores(self, first: np.ndarray, second: np.ndarray, m: int, j: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of m rows have a piece of `size` characters that ends at j, and its log-probability."""
+        bits, known, confirm, score = self.by_length[size]
+        i = j - size
+        h = (first[:m, j] - first[:m, i]) * spans.powers(0, j)[1][i]
+        rows = np.flatnonzero(bits[self._slot(h)])
+        at = np.minimum(np.searchsorted(known, h[rows]), len(known) - 1)
+        g = (second[rows, j] - second[rows, i]) * spans.powers(1, j)[1][i]
+        sure = (known[at] == h[rows]) & (confirm[at] == g)
+        return rows[sure], score[at[sure]]
+
+    def words(self, words: list[bytes], longest: int = 40) -> list[float]:
+        """log10 of each word's probability; words over `longest` characters one by one."""
+        texts = ["▁" + w.decode() for w in words]
+        sizes = np.array([len(t) for t in texts])
+        out = np.zeros(len(words))
+        spell = np.array(self.lattice.spell)
+        for i in np.flatnonzero(sizes > longest).tolist():
+            out[i] = self.lattice.word(words[i])
+        short = np.flatnonzero(sizes <= longest)
+        for low in range(0, len(short), 4096):
+            rows = short[low : low + 4096]
+            rows = rows[np.argsort(-sizes[rows], kind="stable")]
+            n = sizes[rows]
+            wide = int(n[0])
+            points = np.zeros((len(rows), wide), np.uint32)
+            points[np.arange(wide)[None, :] < n[:, None]] = np.frombuffer("".join([texts[i] for i in rows.tolist()]).encode("utf-32-le"), np.uint32)
+            first, second = self._prefixes(points, 0), self._prefixes(points, 1)
+            byte = np.where(points < 128, spell[np.minimum(points, 127)], 0.0)
+            wider, where = np.unique(points[points >= 128], return_inverse=True)
+            byte[points >= 128] = np.array([sum(spell[b] for b in chr(c).encode()) for c in wider.tolist()])[where] if len(wider) else 0.0
+            forward = np.full((len(rows), wide + 1), -np.inf)
+            forward[:, 0] = 0.0
+            alive = np.searchsorted(-n, -np.arange(wide + 1), side="right")  # rows of at least j characters
+            for j in range(1, wide + 1):
+                m = alive[j]
+                total = forward[:m, j - 1] + byte[:m, j - 1]
+                for size in self.by_length:
+                    if size > j:
+                        break
+                    hit, p = self._scores(first, second, m, j, size)
+                    total[hit] = np.logaddexp(total[hit], forward[hit, j - size] + p)
+                forward[:m, j] = total
+            out[rows] = forward[np.arange(len(rows)), n]
+        out[sizes <= longest] /= _LN10
+        return out.tolist()
+
+
 def fit_lattice(counts: DataFrame, path: str | None = None) -> Lattice:
     """Unigram scores of the vocabulary's pieces; counts: of training words, as count_words gives them."""
     import sentencepiece
@@ -153,8 +239,10 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
         known, m = hot.value, lattice.value
         ends = known.get(b"", 0)  # there are as many ends as texts: always among the frequent, unless there are none
 
+        table = LatticeTable(m)
+
         def make(words: list[bytes]) -> list[tuple]:
-            return [(known.get(w, 0), m.word(w)) for w in words]
+            return [(known.get(w, 0), p) for w, p in zip(words, table.words(words), strict=True)]
 
         memo = spans.Memo(make, most=150_000)
         for batch, buf, offsets in spans.chunks(batches, "__text"):

@@ -39,7 +39,7 @@ def _byte_codes(k: int) -> np.ndarray:
 _CODES = tuple(_byte_codes(k) for k in range(2))
 
 
-def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     have = _POWERS.get(k)
     if have is None or len(have[0]) < n:
         size = max(n, 1 << 16)
@@ -56,7 +56,7 @@ def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int = 0) -> np.ndarray:
     """64-bit hashes of buf[starts:ends], the same wherever a span stands; k picks one of two families."""
     n = len(buf)
-    power, inverse = _powers(k, n + 1)
+    power, inverse = powers(k, n + 1)
     prefix = np.empty(n + 1, dtype=np.uint64)
     prefix[0] = 0
     step = _CODES[k][buf]

@@ -170,6 +170,8 @@ def test_lattice(spark, docs):
 
     for w in ("a", "ab", "abba", "xb"):
         assert m.word(w.encode()) == pytest.approx(math.log10(brute("▁" + w)))
+    some = [w.encode() for w in ("a", "ab", "abba", "xb", "é", "a" * 39, "ab" * 60, "日本a", "\U0001f600")]
+    assert lattice_lm.LatticeTable(m).words(some) == pytest.approx([m.word(w) for w in some])
     rows = corpus()
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
     for hot in (200_000, 20):
