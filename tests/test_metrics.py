@@ -96,3 +96,10 @@ def test_raster(spark):
     got = {(r["boundary"], r["frame"]): (r["value"], r["valid"]) for r in targets.rasterize(rows, 0.5).collect()}
     assert [got["start", f] for f in range(3)] == [(1, True), (0, True), (0, True)]
     assert [got["end", f] for f in range(3)] == [(None, False)] * 3
+
+
+def test_rotation_display_reads_every_order(spark, tmp_path):
+    from spanforge.plans import catalog
+
+    spark.range(99_990, 100_020).selectExpr("id as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    assert sum(r["n"] for r in catalog.queries()["rotation_display"](spark, str(tmp_path)).collect()) == 30
