@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,14 +69,17 @@ def corpus(windows: DataFrame, events: DataFrame, caps: tuple[int, int, int] = (
     return readiness.unionByName(activity).unionByName(visible).unionByName(control)
 
 
-def split_corpus(rows: DataFrame, group: str, label: str, issue: str, spec: SplitSpec, least: int, batches: int = 4, size: int = 64) -> tuple[int, DataFrame]:
-    """The first seed whose splits are all supported, searched batch by batch, and its assignment."""
-    for k in range(batches):
-        found = splits.first_supported_seed(rows, group, label, issue, spec, size, least, k * size).first()
-        if found is not None:
-            seed = found["seed"]
-            return seed, splits.group_assignments(rows, group, SplitSpec(seed, spec.fractions, spec.names))
-    raise audit.ContractError(f"no seed below {batches * size} supports every split")
+def split_corpus(
+    rows: DataFrame, group: str, label: str, issue: str | Sequence[str], spec: SplitSpec, least: int = splits.LEAST, seeds: int = splits.SEEDS, boundaries: Sequence[str] = (), issue_kind: str | None = None
+) -> tuple[int, DataFrame]:
+    """The first seed whose splits are all supported (see splits.first_supported_seed), and its assignment.
+
+    A release names all issues, both boundaries and issue_kind.
+    """
+    found = splits.first_supported_seed(rows, group, label, issue, spec, seeds, least, 0, boundaries, issue_kind).first()
+    if found is None:
+        raise audit.ContractError(f"no seed below {seeds} supports every split")
+    return found["seed"], splits.group_assignments(rows, group, SplitSpec(found["seed"], spec.fractions, spec.names))
 
 
 def evaluate(rows: DataFrame) -> dict[str, DataFrame]:

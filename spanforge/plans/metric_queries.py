@@ -185,7 +185,7 @@ def split_support(spark, sf):
 
 def seed_search(spark, sf):
     d = bridge.doc_labels(spark, sf).select(F.col("source").alias("grp"), (F.col("doc_id") % 3).alias("label"), F.col("toxic").alias("issue"))
-    return splits.first_supported_seed(d, "grp", "label", "issue", SEARCH, 64, 1)
+    return splits.first_supported_seed(d, "grp", "label", "issue", SEARCH, least=1)
 
 
 def event_conflicts(spark, sf):

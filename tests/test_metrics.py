@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -103,3 +104,48 @@ def test_rotation_display_reads_every_order(spark, tmp_path):
 
     spark.range(99_990, 100_020).selectExpr("id as o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
     assert sum(r["n"] for r in catalog.queries()["rotation_display"](spark, str(tmp_path)).collect()) == 30
+
+
+def brute_seed(rows, least, wanted):
+    """First seed, over plain rows (group, ...), whose 0.7/0.15/0.15 splits have `least` of every wanted test."""
+    groups = sorted({r[0] for r in rows})
+    first, second, _ = splits.allocate(len(groups), (0.7, 0.15, 0.15))
+    for seed in range(3000):
+        order = sorted(groups, key=lambda g: (hashlib.sha256(f"{seed}\0{g}".encode()).hexdigest(), g))
+        parts = order[:first], order[first : first + second], order[first + second :]
+        if all(len(p) >= least and all(sum(bool(w(r)) for r in rows if r[0] in p) >= least for w in wanted) for p in parts):
+            return seed
+
+
+SHARES = SplitSpec(fractions=(0.7, 0.15, 0.15))
+CLASSES = [lambda r, k=k: r[1] == k for k in range(3)]
+
+
+def test_seed_search_goes_on_until_found(spark):
+    from spanforge.plans import adapters
+
+    rows = [(f"n{g}", y, g % 4 == 1) for g in range(12) for y in ((0, 1, 2) if g % 4 == 0 else (0, 1))]
+    want = brute_seed(rows, 1, [*CLASSES, lambda r: r[2], lambda r: not r[2]])
+    assert want > 256
+    df = spark.createDataFrame(rows, "grp string, label int, issue boolean")
+    assert [r["seed"] for r in splits.first_supported_seed(df, "grp", "label", "issue", SHARES, least=1).collect()] == [want]
+    assert adapters.split_corpus(df, "grp", "label", "issue", SHARES, 1)[0] == want
+    assert splits.first_supported_seed(df, "grp", "label", "issue", SHARES, want, 1).count() == 0
+    assert splits.first_supported_seed(df.where("label < 2"), "grp", "label", "issue", SHARES, least=1).count() == 0
+
+
+def test_seed_search_wants_every_kind_of_evidence(spark):
+    made = "programmatic-controlled-corruption"
+    rng = random.Random(5)
+    pick = lambda *x: rng.choice(x)
+    rows = [(f"g{g}", y, pick(True, False), pick(True, False, None), pick(True, False), pick(True, False), pick(made, "human", None)) for g in range(20) for y in (0, 1, 2)]
+    df = spark.createDataFrame(rows, "grp string, label int, blur boolean, cut boolean, start_valid boolean, end_valid boolean, kind string")
+    issues = [lambda r, c=c, v=v: r[c] is v for c in (2, 3) for v in (True, False)]
+    bounds = [lambda r: r[4], lambda r: r[5]]
+    controlled = [lambda r: r[6] == made and (r[2] is not None or r[3] is not None)]
+    seeds = []
+    for wanted, more in ((issues[:2], {"issue": "blur"}), (issues, {}), (issues + bounds, {"boundaries": ["start_valid", "end_valid"]}), (issues + bounds + controlled, {"boundaries": ["start_valid", "end_valid"], "issue_kind": "kind"})):
+        got = splits.first_supported_seed(df, "grp", "label", more.pop("issue", ["blur", "cut"]), SHARES, least=3, **more).first()["seed"]
+        assert got == brute_seed(rows, 3, [*CLASSES, *wanted])
+        seeds.append(got)
+    assert seeds[0] < seeds[-1]
