@@ -217,7 +217,7 @@ def visibility_proxy(spark, sf):
 
 
 def transform_plan_skips(spark, sf):
-    s = bridge.read(spark, sf, "orders").select(F.col("o_orderkey").alias("source_id"), ((F.col("o_orderkey") % 40) / 10.0).alias("duration"), F.lit(5.0).alias("fps"), (F.col("o_orderkey") % 3 == 0).alias("has_boxes"), (F.col("o_orderkey") % 5 == 0).alias("positive"))
+    s = bridge.read(spark, sf, "orders").select(F.col("o_orderkey").alias("source_id"), ((F.col("o_orderkey") % 40) / 10.0).alias("duration"), F.lit(5.0).alias("fps"), (F.col("o_orderkey") % 3 == 0).alias("has_boxes"), (F.col("o_orderkey") % 5 == 0).alias("positive"), F.lit("human").alias("issue_kind"))
     return curation.transform_plan(s).groupBy("transform", F.coalesce("skip", F.lit("planned")).alias("code")).agg(F.count("*").alias("n"))
 
 

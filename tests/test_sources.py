@@ -100,6 +100,16 @@ def test_transform_plan(spark):
     assert (skips.count(None), skips.count("source_positive_required")) == (6, 2)
 
 
+def test_transform_plan_wants_human_issue_labels(spark):
+    kinds = ["human", "human-derived", "programmatic-controlled-corruption", "unlabeled", None]
+    src = spark.createDataFrame([(i, 2.0, 10.0, True, p, k) for i, (k, p) in enumerate([(k, p) for k in kinds for p in (True, False)])], "source_id long, duration double, fps double, has_boxes boolean, positive boolean, issue_kind string")
+    want = lambda k, p: "source_positive_required" if not p else None if k in kinds[:2] else "human_issue_provenance_required"
+    got = curation.transform_plan(src).collect()
+    assert len(got) == 80 and all(r["skip"] == (want(r["issue_kind"], r["positive"]) if r["faithful"] else None) for r in got)
+    bare = [r["skip"] for r in curation.transform_plan(src.where("source_id = 0").drop("issue_kind")).collect()]
+    assert bare.count("human_issue_provenance_required") == 2
+
+
 def test_streaming_matches_batch(spark, tmp_path):
     from spanforge.streaming.routing import route_stream
 
