@@ -27,10 +27,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least id of each group of near-duplicates."""
-    rows = docs.select(*COLUMNS)
-    gone = near_dup.near_duplicates(rows).where(~F.col("kept")).select("doc_id").distinct()
-    return rows.join(work.table(gone), "doc_id", "left_anti").select(*COLUMNS)
+    """Keeps one row of each group of near-duplicates: the one of least doc_id; rows without one come last, equal ones in row order.
+
+    Rows are compared one by one, whatever their doc_id: repeated rows and rows
+    without doc_id take part, and two texts of one doc_id are two documents.
+    """
+    rows = work.table(docs.select(*COLUMNS).withColumn("__key", F.monotonically_increasing_id()))
+    groups = near_dup.near_duplicates(rows, doc_id="__key").select(F.col("doc_id").alias("__key"), "component_id")
+    named = work.table(groups.join(rows.select("__key", "doc_id"), "__key"))
+    first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key"))).alias("first")
+    stay = named.groupBy("component_id").agg(first).select("first.__key")
+    gone = named.select("__key").join(stay, "__key", "left_anti")
+    return rows.join(work.table(gone), "__key", "left_anti").select(*COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,11 @@ def test_pipeline(spark, folder):
     assert 0 < len(clean) < len(rows)
     got = {r["doc_id"]: r["decoded_sha256"] for r in corpus_pipeline.run(spark, where).collect()}
     assert got == {d[0]: hashlib.sha256(d[1].encode()).hexdigest() for d in clean}
+
+
+def test_dedup_compares_rows_whatever_their_id(spark):
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abcd"}
+    rows = [(7, text["a"]), (7, text["a"]), (None, text["a"] + " more"), (None, text["b"]), (None, text["b"]), (3, text["c"]), (3, text["d"]), (9, text["d"]), (2, text["d"] + " more")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup(spark, df, "").collect()]
+    assert sorted(got, key=str) == sorted([(7, text["a"]), (None, text["b"]), (3, text["c"]), (2, text["d"] + " more")], key=str)
