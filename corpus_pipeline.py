@@ -15,9 +15,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: those without letters or text. Fitted on its own labelled input."""
+    """Drops documents without a language: those without letters or text. Fitted on its own labelled input.
+
+    Ambiguous documents stay: a small lead tells two known languages apart
+    badly, not text from junk.  Without labelled rows all with letters stay.
+    """
     rows = docs.select(*COLUMNS)
     model = ecoc_lang.fit(rows)
+    if not model.languages:
+        return rows.where(F.col("text").rlike(r"\p{L}"))
     named = ecoc_lang.predict(rows, model, keep=list(COLUMNS))
     return named.where(F.col("lang_pred") != ecoc_lang.UNDETERMINED).select(*COLUMNS)
 

@@ -5,9 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spanforge.llm import quality_rules
+from spanforge.llm import ecoc_lang, quality_rules
 
 
 @pytest.fixture(scope="module")
@@ -78,3 +79,15 @@ def test_dedup_compares_rows_whatever_their_id(spark):
     df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.dedup(spark, df, "").collect()]
     assert sorted(got, key=str) == sorted([(7, text["a"]), (None, text["b"]), (3, text["c"]), (2, text["d"] + " more")], key=str)
+
+
+def test_language_id_without_labels_and_with_ambiguous_rows(spark):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "the thing and the nation", "en"), (2, "schule und lichtung", "de"), (3, "\u4f60\u597d", None), (4, "12 34", None), (5, "", None), (6, None, None)]
+    named = spark.createDataFrame([(i, t, k, "s", len(t or "")) for i, t, k in rows], kind)
+    bare = named.withColumn("lang", F.lit(None).cast("string"))
+    for df in (named, bare):
+        assert {r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "").collect()} == {1, 2, 3}
+    alike = named.where("doc_id < 3").withColumn("text", F.lit("the same words"))
+    flags = ecoc_lang.predict(alike, ecoc_lang.fit(alike)).collect()
+    assert all(r["ambiguous"] for r in flags) and corpus_pipeline.language_id(spark, alike, "").count() == 2
