@@ -11,6 +11,10 @@ so that it needs no file system but Spark's own and a lost task leaves no trace:
         (checkpoints), CRC-32 of its words, CRC-32 of its ids
     the blocks' words
 
+Defined results: a null or empty text is the end id alone; rows without doc_id
+come first; rows of one doc_id are neighbours, in no stated order; an empty
+table gives a store without segments; other columns are not read.
+
 A block holds 65,536 ids dealt over 128 interleaved lanes (the last block holds
 the rest).  Every block starts from its own checkpoint, so blocks decode
 independently; here all lanes of all blocks advance together as one array.
@@ -21,6 +25,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +39,12 @@ BLOCK = 1 << 16
 SCALE = 16
 #: Ids after which a segment ends; bounds the memory of writer and reader.
 SEGMENT_IDS = 2 << 20
+#: Bytes of text of a part (one task of the writer), and cells of doc_id of which a part is made up.
+PART_BYTES = 16 << 20
+CELLS = 4
+#: Pieces that a worker remembers (in each of two generations).
+MEMO = 50_000
+SEGMENT = "part int, seq int, n_docs long, n_ids long, payload binary"
 #: Segments up to which their offsets are broadcast: 24 bytes each.
 BROADCAST_SEGMENTS = 200_000
 _LOW = np.uint64(1 << 16)
@@ -176,81 +187,168 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     return [None if z else int(d) for z, d in zip(nulls, names, strict=True)], lengths, ids
 
 
-def tokenize(docs: DataFrame, text: str, doc_id: str, bounds: list[int], end_id: int, path: str | None) -> DataFrame:
-    """part (number of the doc_id range), doc_id and ids (16-bit little-endian) of every row."""
-    edges = np.array(bounds, np.int64)
+@dataclass(frozen=True)
+class Deal:
+    """Where rows go: cells of doc_id (the first holds the null ids), each one's first part and number of parts.
+
+    Small neighbouring cells share a part.  Only a cell of one doc_id, or of the
+    null ids, has several; its rows are dealt by a hash of their text.
+    """
+
+    edges: np.ndarray  # least doc_id of cells 2, 3, ...; cell 1 has what is below
+    first: np.ndarray
+    parts: np.ndarray
+
+    def cells(self, names: pa.Array) -> np.ndarray:
+        at = np.searchsorted(self.edges, names.fill_null(0).to_numpy(zero_copy_only=False), side="right") + 1
+        return np.where(names.is_null().to_numpy(zero_copy_only=False), 0, at)
+
+    def part_of(self, names: pa.Array, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        cell = self.cells(names)
+        part = self.first[cell]
+        many = np.flatnonzero(self.parts[cell] > 1)
+        for row in many.tolist():
+            part[row] += zlib.crc32(buf[offsets[row] : offsets[row + 1]]) % int(self.parts[cell[row]])
+        return part
+
+    @property
+    def total(self) -> int:
+        return int(self.first[-1] + self.parts[-1])
+
+
+def plan_parts(docs: DataFrame, text: str, doc_id: str, part_bytes: int) -> Deal:
+    """Parts of about part_bytes of text in ascending order of doc_id, from byte sums of fine quantile cells.
+
+    The driver holds a few numbers a part (a part is megabytes of text).
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 16).alias("size"))
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    fine = CELLS * max(1, -(-total // part_bytes))
+    probs = [k / fine for k in range(1, fine)]
+    got = sorted(rows.agg(F.percentile_approx("doc_id", F.lit(probs), 10 * max(fine, 1000)).alias("b")).first()["b"] or []) if total > part_bytes else []
+    heavy = {a for a, b in zip(got, got[1:], strict=False) if a == b}  # ids that fill whole cells stand alone
+    edges = np.array(sorted({*got, *(x + 1 for x in heavy if x < (1 << 63) - 1)}), np.int64)
+    plain = Deal(edges, np.zeros(len(edges) + 2, np.int32), np.ones(len(edges) + 2, np.int32))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(edges) + 2, np.int64)
+        for batch in batches:
+            np.add.at(sums, plain.cells(batch.column(0)), batch.column(1).to_numpy())
+        some = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(sums[some])], names=["cell", "bytes"])
+
+    weight = np.zeros(len(edges) + 2, np.int64)
+    if len(edges):
+        for r in rows.mapInArrow(weigh, "cell int, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect():  # CELLS rows a part
+            weight[r["cell"]] = r["bytes"]
+    first, parts = np.zeros(len(weight), np.int32), np.ones(len(weight), np.int32)
+    now, load = 0, 0
+    for cell, w in enumerate(weight.tolist()):
+        alone = cell == 0 or (cell > 1 and int(edges[cell - 2]) in heavy)
+        if load and load + w > part_bytes:
+            now, load = now + 1, 0
+        first[cell] = now
+        load += w
+        if alone and w > part_bytes:
+            parts[cell] = -(-w // part_bytes)
+            now, load = now + int(parts[cell]), 0
+    return Deal(edges, first, parts)
+
+
+def tokenize(docs: DataFrame, text: str, doc_id: str, deal: Deal, end_id: int, path: str | None) -> DataFrame:
+    """part, doc_id and ids (little-endian, of 16 bits, or 32 where the vocabulary needs them) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(deal)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces.model(path)
-        if m.size > 1 << 16:
-            raise ValueError("ids over 16 bits")
-        memo = spans.Memo(lambda some: [np.array(m.ids(p), "<u2").tobytes() for p in some])
-        end = np.array([end_id], "<u2").tobytes()
+        kind = width(m.size)
+        memo = spans.Memo(lambda some: [np.array(m.ids(p), kind).tobytes() for p in some], most=MEMO)
+        end = np.array([end_id], kind).tobytes()
         for batch, buf, offsets in spans.chunks(batches, "__text"):
             starts = m.split(buf, offsets)
             distinct, index = spans.distinct_spans(buf, starts, np.append(starts[1:], len(buf)))
             known = memo.values_of(distinct)
             at = np.searchsorted(starts, offsets).tolist()
-            order = index.tolist()
-            made = [b"".join([known[i] for i in order[a:b]]) + end for a, b in zip(at, at[1:], strict=False)]
+            made = [b"".join([known[i] for i in index[a:b].tolist()]) + end for a, b in zip(at, at[1:], strict=False)]
             names = batch.column(batch.schema.get_field_index("doc_id"))
-            part = np.where(names.is_null().to_numpy(zero_copy_only=False), 0, np.searchsorted(edges, names.fill_null(0).to_numpy(zero_copy_only=False), side="right"))
+            part = shared.value.part_of(names, buf, offsets)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), names, pa.array(made, pa.binary())], names=["part", "doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     return rows.mapInArrow(run, "part int, doc_id long, ids binary")
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def width(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def _packed(names: list[int | None], blobs: list[bytes], kind: str) -> Iterator[tuple[int, int, bytes]]:
+    """Documents, ids and byte stream of a segment; two segments or more where its distinct ids overflow the table."""
+    lengths = [len(b) // np.dtype(kind).itemsize for b in blobs]
+    ids = np.frombuffer(b"".join(blobs), kind)
+    if kind == "<u4" and len(names) > 1 and len(ids) > 1 << SCALE and len(np.unique(ids)) > 1 << SCALE:
+        half = len(names) // 2
+        yield from _packed(names[:half], blobs[:half], kind)
+        yield from _packed(names[half:], blobs[half:], kind)
+    else:
+        yield len(names), len(ids), pack(names, lengths, ids)
+
+
+def _segments(kind: str):
     """Rows sorted by part and doc_id to segments; a document's ids are never split between segments."""
-    part, seq, names, blobs, size = None, 0, [], [], 0
-
-    def flush() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(blobs), "<u2")
-        data = pack(names, [len(b) // 2 for b in blobs], ids)
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "payload"])
-
-    for batch in batches:
-        for p, d, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            b = b.as_py()
-            if names and (p != part or size + len(b) > 2 * SEGMENT_IDS):
-                yield flush()
-                seq = seq + 1 if p == part else 0
-                names, blobs, size = [], [], 0
-            part = p
-            names.append(d)
-            blobs.append(b)
-            size += len(b)
-    if names:
-        yield flush()
-
-
-def write_store(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, path: str | None = None, part_bytes: int = 32 << 20) -> None:
+    most = SEGMENT_IDS * np.dtype(kind).itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq, names, blobs, size = None, 0, [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal seq, names, blobs, size
+            for docs, ids, data in _packed(names, blobs, kind):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([docs], pa.int64()), pa.array([ids], pa.int64()), pa.array([data], pa.binary())], names=["part", "seq", "n_docs", "n_ids", "payload"])
+                seq += 1
+            names, blobs, size = [], [], 0
+
+        for batch in batches:
+            for p, d, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                b = b.as_py()
+                if names and (p != part or size + len(b) > most):
+                    yield from flush()
+                if p != part:
+                    part, seq = p, 0
+                names.append(d)
+                blobs.append(b)
+                size += len(b)
+        if names:
+            yield from flush()
+
+    return run
+
+
+def write_store(docs: DataFrame, folder: str, text: str = "text", doc_id: str = "doc_id", end_id: int = 0, path: str | None = None, part_bytes: int = PART_BYTES) -> None:
     """Encodes every text, appends end_id, and writes the segments in ascending doc_id order.
 
     Null texts give end_id alone; rows without doc_id come first; rows of one
-    doc_id stay next to each other.  One shuffle, of the 16-bit ids, deals the
-    rows to ranges of doc_id of about part_bytes of text.
+    doc_id stay next to each other, in parts of their own if they are many.  One
+    shuffle, of the ids, brings every part, of about part_bytes of text, to a
+    task of its own, so tasks keep their size as the input grows.
     """
-    size, = docs.agg(F.sum(F.octet_length(text))).first()
-    parts = max(1, -(-(size or 0) // part_bytes))
-    probs = [k / parts for k in range(1, parts)]
-    bounds = docs.agg(F.percentile_approx(F.col(doc_id).cast("long"), F.lit(probs), 10 * max(parts, 1000)).alias("b")).first()["b"] if probs else []
-    rows = tokenize(docs, text, doc_id, sorted(set(bounds or [])), end_id, path)
-    dealt = rows.repartition("part").sortWithinPartitions("part", "doc_id")
-    dealt.mapInArrow(_segments, "part int, seq int, n_docs long, n_ids long, payload binary").write.parquet(folder)
+    deal = plan_parts(docs, text, doc_id, part_bytes)
+    rows = tokenize(docs, text, doc_id, deal, end_id, path)
+    dealt = rows.repartitionById(deal.total, F.col("part")).sortWithinPartitions("part", "doc_id")
+    dealt.mapInArrow(_segments(width(pieces.model(path).size)), SEGMENT).write.parquet(folder)
 
 
 def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
     """Per document of a store: doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and, if asked for, ids.
 
-    Segments decode in parallel; only their counts meet in one place.
+    Segments decode in parallel; only one count a part meets in one place.
     """
-    schema = "part int, seq int, n_docs long, n_ids long, payload binary"
-    store = spark.read.schema(schema).parquet(folder)
+    store = spark.read.schema(SEGMENT).parquet(folder)
     counts = store.select("part", "seq", "n_ids")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    earlier = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", F.coalesce(F.sum("n").over(earlier("part")), F.lit(0)).alias("before"))
+    within = counts.select("part", "seq", F.coalesce(F.sum("n_ids").over(earlier("part", "seq")), F.lit(0)).alias("within"))
+    base = within.join(parts, "part").select("part", "seq", (F.col("before") + F.col("within")).alias("base"))
     small = counts.count() <= BROADCAST_SEGMENTS
     rows = store.select("part", "seq", "payload").join(F.broadcast(base) if small else base, ["part", "seq"]).select("base", "payload")
 

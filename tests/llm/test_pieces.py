@@ -119,3 +119,33 @@ def test_empty_table_and_clashing_columns(spark):
         bpe.encode(none, keep=["doc_id", "n_tokens"])
     some = spark.createDataFrame([(1, "a b", 7, "x")], none.schema)
     assert bpe.encode(some, keep=["doc_id", "extra"]).first()["extra"] == "x"
+
+
+def test_store_of_repeated_and_missing_ids(spark, tmp_path):
+    rng = random.Random(8)
+    some = [("".join(rng.choice("ab cd\n") for _ in range(300)), rng.choice([None, 7, 7, 7, k])) for k in range(600)]
+    rows = spark.createDataFrame([(d, t) for t, d in some], "doc_id long, text string").repartition(3)
+    deal = ans_store.plan_parts(rows, "text", "doc_id", 10_000)
+    assert deal.parts[0] > 1 and deal.parts.max() > 5 and (deal.parts > 1).sum() == 2  # the null ids and 7
+    folder = str(tmp_path / "store")
+    ans_store.write_store(rows, folder, part_bytes=10_000)
+    sizes = [r[0] for r in spark.read.schema(ans_store.SEGMENT).parquet(folder).groupBy("part").agg({"n_docs": "sum"}).collect()]
+    assert len(sizes) > 10
+    back = ans_store.read_store(spark, folder, with_ids=True).collect()
+    want = sorted(((d, tuple([*LIBRARY.encode(t, add_special_tokens=False).ids, 0])) for t, d in some), key=str)
+    assert sorted(((r["doc_id"], tuple(r["ids"])) for r in back), key=str) == want
+    by_start = sorted(back, key=lambda r: r["start"])
+    at = 0
+    for r in by_start:
+        assert r["start"] == at
+        at += r["n_tokens"]
+    names = [r["doc_id"] for r in by_start]
+    assert names == sorted(names, key=lambda d: -1 if d is None else d)
+
+
+def test_wide_ids_and_segments_of_many_distinct_ids():
+    ids = np.arange(200_000, dtype=np.uint32) % 90_000
+    cut = np.array_split(ids, 10)
+    made = list(ans_store._packed(list(range(10)), [x.astype("<u4").tobytes() for x in cut], "<u4"))
+    assert len(made) > 1 and sum(n for _, n, _ in made) == len(ids)
+    assert (np.concatenate([ans_store.unpack(data)[2] for *_, data in made]) == ids).all()
