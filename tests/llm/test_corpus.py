@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spanforge.llm import components, decontaminate, ecoc_lang, lattice_lm, near_dup, quality_rules, sharding, url_lists
+from spanforge.llm import components, decontaminate, ecoc_lang, lattice_lm, near_dup, quality_rules, sharding, url_lists, work
 
 SCHEMA = "doc_id long, text string, lang string, source string"
 
@@ -205,13 +205,81 @@ def test_quality(spark, docs):
     assert kept == {i for i, r in got.items() if r["kept"]}
 
 
-def test_quality_adapts(spark):
-    rng = random.Random(9)
-    word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))
-    rows = [(i, " ".join(word() + ("#" if source == "b" and rng.random() < 0.4 else "") for _ in range(80)), "en", source) for i, source in enumerate(["a", "b"] * 250)]
-    rows.append((1000, " ".join(word() + "#" * (k % 2) for k in range(80)), "en", "a"))
-    got = {r["doc_id"]: r["kept"] for r in quality_rules.apply(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert not got[1000] and sum(got.values()) >= 495
+def _levels(seed, n=300, dirt=1.0, words=150):
+    """Documents of two sources that differ in every rate; source b has `dirt` times its usual rates."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    made = []
+    for i in range(n):
+        source = "ab"[i % 2]
+        p = (0.02 if source == "a" else 0.07) * (dirt if source == "b" else 1)
+        lines, line = [], []
+        phrase = [word() for _ in range(3)]
+        while sum(map(len, lines)) < words:
+            line = [word().upper() if rng.random() < p else word() + ("#" if rng.random() < p else "") for _ in range(6)]
+            if rng.random() < p:
+                line[:3] = phrase
+            lines.append(lines[-1] if lines and rng.random() < p else line)
+        made.append((i, "\n".join(" ".join(x) for x in lines), "en", source))
+    return made
+
+
+def _fences(spark, rows):
+    stats = work.table(quality_rules.with_stats(spark.createDataFrame(rows, SCHEMA)).drop("text"))
+    return {r["source"]: r for r in quality_rules.thresholds(quality_rules.sketches(stats)).collect()}
+
+
+def test_every_fence_follows_its_group(spark):
+    usual, dirty = _fences(spark, _levels(1)), _fences(spark, _levels(1, dirt=2))
+    for rule, *_ in quality_rules.RULES:
+        name = f"fence_{rule}"
+        assert usual["a"][name] < usual["b"][name] < dirty["b"][name]
+
+
+def test_every_rule_rejects_what_stands_out_in_its_source(spark):
+    rng = random.Random(4)
+    rows = _levels(2, dirt=0.3)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    many = [[word() for _ in range(6)] for _ in range(600)]
+    phrase = [word() for _ in range(3)]
+    odd = {
+        "symbol": "\n".join(" ".join(w + "##" for w in x) for x in many),
+        "dup_line": "\n".join(" ".join(x) for x in many + [["same"]] * 300),
+        "repeat": "\n".join(" ".join(phrase + x[: 3 + i % 2]) for i, x in enumerate(many)),
+        "upper": "\n".join(" ".join(w.upper() for w in x) for x in many),
+    }
+    rows += [(1000 + i, t, "en", "a") for i, t in enumerate(odd.values())]
+    judged = quality_rules.apply(spark.createDataFrame(rows, SCHEMA))
+    got = {r["doc_id"]: r for r in judged.collect()}
+    for i, rule in enumerate(odd):
+        assert rule in got[1000 + i]["failed_rules"].split(",")
+    assert sum(got[i]["kept"] for i in range(300)) >= 297
+    told = collections.Counter()
+    for r in quality_rules.report(judged).collect():
+        told[r["rule"]] += r["rejected"]
+    assert told == collections.Counter(x for r in got.values() for x in (["base"] if r["base_failed"] else r["failed_rules"].split(",") if r["failed_rules"] else []))
+
+
+def test_a_source_of_junk_does_not_lift_its_own_fence(spark):
+    rows = _levels(3, n=700) + [(1000 + i, t, k, "c") for i, t, k, source in _levels(5, n=180) if source == "a"]
+    junk = [(2000 + i, " ".join(f"x{k}q{i} ###" for k in range(90)), "en", "c") for i in range(60)]  # two fifths of c
+    assert _fences(spark, rows + junk)["c"]["fence_symbol"] < 1500  # the junk has over 4000
+    got = {r["doc_id"]: r["kept"] for r in quality_rules.apply(spark.createDataFrame(rows + junk, SCHEMA)).collect()}
+    assert not any(got[i] for i, *_ in junk) and sum(got[i] for i, *_ in rows) >= 0.99 * len(rows)
+
+
+def test_quality_against_its_sql(spark, docs, tmp_path):
+    import duckdb
+
+    rows = corpus() + [(5000 + i, *x[1:]) for i, x in enumerate(_levels(7))]
+    df = spark.createDataFrame(rows, SCHEMA)
+    df.write.parquet(str(tmp_path / "d"))
+    got = {r["doc_id"]: (r["n_words"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"], r["failed_rules"], r["kept"]) for r in quality_rules.apply(df).collect()}
+    said = duckdb.sql(quality_rules.oracle(f"'{tmp_path}/d/*.parquet'")).fetchall()
+    assert {x[0]: (x[1], x[4], x[5], *x[6:]) for x in said} == got
+    none = spark.createDataFrame([], SCHEMA + ", n_words string")
+    with pytest.raises(ValueError, match="clash"):
+        quality_rules.keep(none)
 
 
 def test_shards(spark, docs):
