@@ -11,7 +11,9 @@ written in between, so no executor ever holds more than one slice.
 
 Defined results: null and empty texts have no words, no hits and are clean; an
 empty benchmark leaves every document clean; items without words never occur;
-items that share a window all count; repeated rows each get their own result.
+items that share a window all count; the windows of an item without id hit like
+others, but it is not in the item list; ids of any type are named as strings;
+repeated rows each get their own result.
 """
 
 from __future__ import annotations
@@ -54,8 +56,8 @@ def _window_hashes(h: np.ndarray, size: int) -> np.ndarray:
 class WindowSet:
     """Windows of some items by length: a bit filter, and the words of each with its items."""
 
-    def __init__(self, windows: dict[tuple[bytes, ...], list[int]]):
-        self.items = {b" ".join(w): sorted(set(i)) for w, i in windows.items()}
+    def __init__(self, windows: dict[tuple[bytes, ...], list[str | None]]):
+        self.items = {b" ".join(w): sorted({x for x in i if x is not None}) for w, i in windows.items()}
         by_size = defaultdict(list)
         for w in windows:
             by_size[len(w)].append(w)
@@ -70,7 +72,7 @@ class WindowSet:
             bits[(own & np.uint64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
             self.filters[size] = (bits, np.unique(own))
 
-    def hits(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, list[int]]]:
+    def hits(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, list[str]]]:
         """(document, first word, number of words, items) of each window that occurs."""
         h = spans.hash_spans(low, starts, ends)
         data = None
@@ -102,13 +104,13 @@ def windows(benchmark: DataFrame, text: str, item_id: str, n: int) -> DataFrame:
             names, made, items = batch.column(1).to_pylist(), [], []
             for name, a, b in zip(names, at.tolist(), at[1:].tolist(), strict=False):
                 own = all_words[a:b]
-                for k in range(max(1, len(own) - n + 1) if own and name is not None else 0):
+                for k in range(max(1, len(own) - n + 1) if own else 0):
                     made.append(" ".join(own[k : k + n]))
                     items.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(items, pa.int64())], names=["words", "item"])
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(items, pa.string())], names=["words", "item"])
 
-    rows = benchmark.select(F.col(text).alias("text"), F.col(item_id).cast("long").alias("item"))
-    return rows.mapInArrow(run, "words string, item long").distinct()
+    rows = benchmark.select(F.col(text).alias("text"), F.col(item_id).cast("string").alias("item"))
+    return rows.mapInArrow(run, "words string, item string").distinct()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", bench_text: str = "text", item_id: str = "item_id", n: int = WORDS, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
@@ -120,10 +122,10 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", bench_text:
     found = windows(benchmark, bench_text, item_id, n)
     slices = max(1, -(-found.count() // slice_windows))
     found = work.table(found) if slices > 1 else found
-    rows = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<long>"), "hit_items": F.array().cast("array<long>")})
+    rows = docs.withColumns({"n_words": F.lit(0).cast("long"), "hit_spans": F.array().cast("array<long>"), "hit_items": F.array().cast("array<string>")})
     for k in range(slices):
         some = found.where(F.pmod(F.xxhash64("words"), F.lit(slices)) == k) if slices > 1 else found
-        sets: dict[tuple[bytes, ...], list[int]] = defaultdict(list)
+        sets: dict[tuple[bytes, ...], list[str | None]] = defaultdict(list)
         for r in some.toLocalIterator():
             sets[tuple(r["words"].encode().split(b" "))].append(r["item"])
         shared = spark.sparkContext.broadcast(WindowSet(sets))
@@ -139,7 +141,7 @@ def _scanner(shared, text: str):
         for batch, buf, offsets in spans.chunks(batches, text):
             low, starts, ends, at = _words(buf, offsets)
             marks: dict[int, list[tuple[int, int]]] = defaultdict(list)
-            items: dict[int, set[int]] = defaultdict(set)
+            items: dict[int, set[str]] = defaultdict(set)
             for d, w, size, some in own.hits(low, starts, ends, at) if own.filters else ():
                 marks[d].append((w, w + size))
                 items[d].update(some)
@@ -160,7 +162,7 @@ def _scanner(shared, text: str):
                         joined += [a, b]
                 hit_spans.append(joined)
                 hit_items.append(sorted({*before_items[d].as_py(), *items[d]}))
-            new = {"n_words": pa.array(np.diff(at), pa.int64()), "hit_spans": pa.array(hit_spans, pa.list_(pa.int64())), "hit_items": pa.array(hit_items, pa.list_(pa.int64()))}
+            new = {"n_words": pa.array(np.diff(at), pa.int64()), "hit_spans": pa.array(hit_spans, pa.list_(pa.int64())), "hit_items": pa.array(hit_items, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(i)) for i, c in enumerate(names)], names=names)
 
     return run
@@ -169,7 +171,7 @@ def _scanner(shared, text: str):
 def judge(scanned: DataFrame, least: int = 20) -> DataFrame:
     """Adds n_hit, n_items, items_sha256 and contaminated: hit words are at least 1 in `least`."""
     hit = F.aggregate(F.transform("hit_spans", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
-    listed = F.array_join(F.array_sort(F.transform("hit_items", lambda x: x.cast("string"))), ",")
+    listed = F.array_join(F.array_sort("hit_items"), ",")
     made = scanned.withColumns({"n_hit": hit, "n_items": F.size("hit_items").cast("long"), "items_sha256": F.sha2(listed, 256)})
     return made.withColumn("contaminated", (F.col("n_hit") > 0) & (least * F.col("n_hit") >= F.col("n_words")))
 
