@@ -69,7 +69,8 @@ def evaluate(captures: DataFrame, events: DataFrame, url: str = "url", at: str =
         raise ValueError("a column would clash with the result")
     active = work.table(intervals(events))
     few = active.count() <= BROADCAST_VALUES
-    rows = captures.withColumn("__row", F.monotonically_increasing_id())
+    # Numbered rows are written before they are read twice, so that both reads agree on the numbers.
+    rows = work.table(captures.withColumn("__row", F.monotonically_increasing_id()))
     # Each capture stays whole; only its keys that are on the list travel.
     keys = rows.select("__row", F.col(at).alias("__at"), F.inline(match_keys(F.col(url))))
     right = F.broadcast(active) if few else active
