@@ -8,13 +8,14 @@ recursion in log space; any character can also be spelled by its bytes.  A
 document's log-probability is the sum over its words and one end token.
 
 Word counts are gathered from the whole corpus.  In the scoring pass frequent
-words (the `HOT_WORDS` most frequent, a fixed number) are looked up in a
+words (the most frequent, at most `HOT_WORDS`) are looked up in a
 broadcast table; each other (document, word) pair is joined to the counts by
 one shuffle, in which no key is frequent.
 
 Defined results: a null or empty text is the end token alone; words of any
-length are scored in full; rows repeat as often as they come; without training
-documents every token is unknown.
+length are scored in full (bytes that are not UTF-8 as replacement characters);
+rows repeat as often as they come; without training documents every token is
+unknown.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ class Lattice:
 
     def word(self, word: bytes) -> float:
         """log10 of the summed probability of all segmentations of one word."""
-        text = "▁" + word.decode()
+        text = "▁" + word.decode(errors="replace")
         get, longest, spell = self.pieces.get, self.longest, self.spell
         exp, log = math.exp, math.log
         forward = [0.0]
@@ -142,7 +143,7 @@ class LatticeTable:
 
     def words(self, words: list[bytes], longest: int = 40) -> list[float]:
         """log10 of each word's probability; words over `longest` characters one by one."""
-        texts = ["▁" + w.decode() for w in words]
+        texts = ["▁" + w.decode(errors="replace") for w in words]
         sizes = np.array([len(t) for t in texts])
         out = np.zeros(len(words))
         spell = np.array(self.lattice.spell)
@@ -216,6 +217,23 @@ def fit_lattice(counts: DataFrame, path: str | None = None) -> Lattice:
     return Lattice(pieces, spell, math.log((ends + SMOOTHING) / total), max(map(len, pieces)))
 
 
+def hot_words(counts: DataFrame) -> DataFrame:
+    """The rows of counts with the largest counts, at most HOT_WORDS and the end token; equal counts are in or out together.
+
+    The least count is found first, from the number of words per bucket of
+    counts (its six leading bits), so no more than these rows reach the driver.
+    """
+    low = F.expr("shiftleft(shiftright(c, greatest(length(bin(c)) - 6, 0)), greatest(length(bin(c)) - 6, 0))")
+    least, seen = None, 0
+    for r in counts.groupBy(low.alias("low")).agg(F.count("*").alias("n")).orderBy(F.desc("low")).collect():  # 64 rows a power of two at most
+        seen += r["n"]
+        if seen > HOT_WORDS:
+            break
+        least = r["low"]
+    end = F.length("word") == 0
+    return counts.where(end if least is None else end | (F.col("c") >= least))
+
+
 def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
     """Columns `keep` (default doc_id), held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
@@ -232,7 +250,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
     lattice = spark.sparkContext.broadcast(fit_lattice(counts, path))
     tokens, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     below = math.log10(tokens + SMOOTHING * (distinct + 1))
-    frequent = counts.orderBy(F.desc("c"), "word").limit(HOT_WORDS).toPandas()
+    frequent = hot_words(counts).toPandas()
     hot = spark.sparkContext.broadcast(dict(zip(map(bytes, frequent["word"]), frequent["c"].tolist(), strict=True)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
