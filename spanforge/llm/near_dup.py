@@ -2,7 +2,7 @@
 
 1. One scan gives each document its set of distinct five-word shingles (64-bit
    hashes), the set's size, a 128-bit fingerprint of its words, the minima of
-   128 hash functions, 20 band keys of five minima each, and a signature of the
+   128 hash functions, band keys of five minima each (20 by default), and a signature of the
    minima's four low bits.  Documents of the same words form a class.
 2. Classes that share a band key are candidates.  Within a bucket, signatures
    are compared as arrays; matching bits, corrected for chance, estimate the
@@ -13,8 +13,9 @@
 Large buckets and groups are cut into chunks and each pair of chunks is a piece
 of work of bounded size; a piece returns a spanning star of what it linked,
 never its pairs, so results grow with the documents.  A linked pair of
-similarity 0.85 shares no band with probability 8e-6 and is underestimated by
-0.15 with probability 4e-6; both fall fast for closer pairs.
+similarity 0.85 shares none of 20 bands with probability 2e-5 (of 0.8: 25 bands,
+5e-5) and is underestimated by 0.15 with probability 4e-6 (2e-5); all fall fast
+for closer pairs.
 
 Defined results: without words or text the set is empty and links with nothing;
 fewer than five words are one shingle; exact copies are always linked; a row
@@ -82,8 +83,10 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return s[new], np.searchsorted(doc[new], np.arange(docs + 1)), marks[0], marks[1]
 
 
-def sketch(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def sketch(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: int = BANDS) -> DataFrame:
     """doc_id, n_shingles, f1, f2, bands (long, one each), signature (two minima a byte)."""
+    if not 0 < bands * ROWS <= HASHES:
+        raise ValueError("more bands than hash functions allow")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, buf, offsets in spans.chunks(batches, "__text"):
@@ -98,16 +101,16 @@ def sketch(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
                     v ^= v >> np.uint32(15)
                     v *= np.uint32(0x2C1B3C6D)
                     minima[k, full] = np.minimum.reduceat(v, at[full])
-            keys = np.zeros((docs, BANDS), np.uint64)
-            for b in range(BANDS):
+            keys = np.zeros((docs, bands), np.uint64)
+            for b in range(bands):
                 key = np.full(docs, b + 1, np.uint64)
                 for m in minima[b * ROWS : (b + 1) * ROWS]:
                     key = spans.mix(key * np.uint64(0x9E3779B97F4A7C15) + m)
                 keys[:, b] = key
             low = (minima & np.uint32((1 << BITS) - 1)).astype(np.uint8)
             packed = np.ascontiguousarray((low[0::2] | low[1::2] << np.uint8(4)).T)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
-            made = [pa.array(np.diff(at), pa.int64()), pa.array(f1), pa.array(f2), bands, pa.array([r.tobytes() for r in packed], pa.binary())]
+            listed = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1) * bands, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))
+            made = [pa.array(np.diff(at), pa.int64()), pa.array(f1), pa.array(f2), listed, pa.array([r.tobytes() for r in packed], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_shingles", "f1", "f2", "bands", "signature"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
@@ -172,17 +175,20 @@ def _estimates(signatures: np.ndarray) -> np.ndarray:
     return 100 * (same / HASHES - chance) / (1 - chance)
 
 
-def _by_signature(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    edges: set[tuple[int, int]] = set()
-    for t in _groups(batches, 3):
-        nodes, where = np.unique(t.column("node").to_numpy(), return_index=True)
-        if len(nodes) > 1:
-            data = b"".join(t.column("signature").take(pa.array(where)).to_pylist())
-            edges.update(_stars(nodes, _estimates(np.frombuffer(data, np.uint8).reshape(len(nodes), -1)) >= LIMIT - MARGIN))
-        if len(edges) > 50_000:
-            yield _edge_batch(edges)
-            edges = set()
-    yield _edge_batch(edges)
+def _by_signature(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: set[tuple[int, int]] = set()
+        for t in _groups(batches, 3):
+            nodes, where = np.unique(t.column("node").to_numpy(), return_index=True)
+            if len(nodes) > 1:
+                data = b"".join(t.column("signature").take(pa.array(where)).to_pylist())
+                edges.update(_stars(nodes, _estimates(np.frombuffer(data, np.uint8).reshape(len(nodes), -1)) >= limit - MARGIN))
+            if len(edges) > 50_000:
+                yield _edge_batch(edges)
+                edges = set()
+        yield _edge_batch(edges)
+
+    return run
 
 
 def _edge_batch(edges: set[tuple[int, int]]) -> pa.RecordBatch:
@@ -216,17 +222,20 @@ def _linked(sets: list[np.ndarray], limit: int) -> np.ndarray:
     return (common > 0) & (100 * common >= limit * (sizes[:, None] + sizes[None, :] - common)) & ~np.eye(m, dtype=bool)
 
 
-def _by_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    edges: set[tuple[int, int]] = set()
-    for t in _groups(batches, 3):
-        nodes, where = np.unique(t.column("node").to_numpy(), return_index=True)
-        if len(nodes) > 1:
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").take(pa.array(where)).to_pylist()]
-            edges.update(_stars(nodes, _linked(sets, LIMIT)))
-        if len(edges) > 50_000:
-            yield _edge_batch(edges)
-            edges = set()
-    yield _edge_batch(edges)
+def _by_sets(limit: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: set[tuple[int, int]] = set()
+        for t in _groups(batches, 3):
+            nodes, where = np.unique(t.column("node").to_numpy(), return_index=True)
+            if len(nodes) > 1:
+                sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").take(pa.array(where)).to_pylist()]
+                edges.update(_stars(nodes, _linked(sets, limit)))
+            if len(edges) > 50_000:
+                yield _edge_batch(edges)
+                edges = set()
+        yield _edge_batch(edges)
+
+    return run
 
 
 def _chunked(members: DataFrame, chunks) -> DataFrame:
@@ -251,9 +260,9 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> Data
     return some.mapInArrow(run, "node long, f1 long, f2 long, shingles binary")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) and kept of every row."""
-    every = work.table(sketch(docs, text, doc_id))
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT, bands: int = BANDS) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links of at least limit percent) and kept of every row."""
+    every = work.table(sketch(docs, text, doc_id, bands))
     total = every.count()
     all_rows = every.where("doc_id is not null")
     by_words = all_rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
@@ -268,7 +277,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     members = work.join_hot(keys, buckets, ["g"], "size", total)
     pieces = _chunked(members.select("g", "node", "size"), F.ceil(F.col("size") / CHUNK)).join(heads.select("node", "signature"), "node")
     close = pieces.select("g", "i", "j", "node", "signature").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    groups = work.table(components(close.mapInArrow(_by_signature, "a long, b long")))
+    groups = work.table(components(close.mapInArrow(_by_signature(limit), "a long, b long")))
     # Exact similarities within candidate groups.
     sized = groups.join(chosen, "node")
     sizes = work.table(sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total")))
@@ -277,7 +286,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES))
     exact = _chunked(placed.select("g", "node", "f1", "f2", "size", "total").join(sets, ["node", "f1", "f2"]), chunks)
     exact = exact.select("g", "i", "j", "node", "shingles").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    linked = work.table(components(exact.mapInArrow(_by_sets, "a long, b long")))
+    linked = work.table(components(exact.mapInArrow(_by_sets(limit), "a long, b long")))
     named = classes.join(linked, "node", "left").select("f1", "f2", "copies", F.coalesce("component", "node").alias("component_id"))
     named = work.table(named)
     some = work.join_hot(all_rows.where("n_shingles > 0").select("doc_id", "n_shingles", "f1", "f2"), named, ["f1", "f2"], "copies", total)
