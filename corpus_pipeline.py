@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from spanforge.llm import bpe, decontaminate, ecoc_lang, near_dup, quality_rules, work
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Percent of similarity from which the near-duplicate stage links, and its bands of minima.
+NEAR, NEAR_BANDS = 80, 25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: those without letters or text. Fitted on its own labelled input.
+    """Drops documents without a language: those without letters or text; names the language of unlabelled ones. Fitted on its own labelled input.
 
     Ambiguous documents stay: a small lead tells two known languages apart
     badly, not text from junk.  Without labelled rows all with letters stay.
@@ -25,10 +27,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:
         return rows.where(F.col("text").rlike(r"\p{L}"))
     named = ecoc_lang.predict(rows, model, keep=list(COLUMNS))
-    return named.where(F.col("lang_pred") != ecoc_lang.UNDETERMINED).select(*COLUMNS)
+    told = named.where(F.col("lang_pred") != ecoc_lang.UNDETERMINED)
+    return told.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the base rule or the rules of its (lang, source) reject; null texts fail the base rule, null names are a group."""
     return quality_rules.keep(docs.select(*COLUMNS))
 
 
@@ -39,7 +43,7 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     without doc_id take part, and two texts of one doc_id are two documents.
     """
     rows = work.table(docs.select(*COLUMNS).withColumn("__key", F.monotonically_increasing_id()))
-    groups = near_dup.near_duplicates(rows, doc_id="__key").select(F.col("doc_id").alias("__key"), "component_id")
+    groups = near_dup.near_duplicates(rows, doc_id="__key", limit=NEAR, bands=NEAR_BANDS).select(F.col("doc_id").alias("__key"), "component_id")
     named = work.table(groups.join(rows.select("__key", "doc_id"), "__key"))
     first = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("__key"))).alias("first")
     stay = named.groupBy("component_id").agg(first).select("first.__key")
@@ -48,11 +52,13 @@ def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops contaminated documents: of their words at least one in 20 is in a benchmark window; without words they are clean."""
     scanned = decontaminate.scan(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return decontaminate.judge(scanned).where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded bytes of every row; a null text has no tokens."""
     return bpe.encode(docs)
 
 

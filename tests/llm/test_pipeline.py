@@ -55,7 +55,7 @@ def test_pipeline(spark, folder):
     for a in sets:
         for b in sets:
             both = len(sets[a] & sets[b])
-            if a < b and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if a < b and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 top[y] = x
     rows = [d for d in rows if root(d[0]) == d[0]]
