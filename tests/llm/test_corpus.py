@@ -92,23 +92,70 @@ def test_large_groups_in_chunks(spark, monkeypatch):
     assert got == {0}
 
 
-def test_estimates_are_close():
+def test_estimates_are_close(spark):
     rng = np.random.default_rng(0)
-    import pyarrow as pa
-
     words = [f"w{i}" for i in range(600)]
-    other = list(words)
-    for k in rng.choice(600, 10, replace=False):
-        other[k] = "z"
-    texts = [" ".join(words), " ".join(other)]
-    from spanforge.llm import spans
+    texts = [" ".join(words)]
+    for changed in (5, 10, 20, 40, 600):
+        other = list(words)
+        for k in rng.choice(600, changed, replace=False):
+            other[k] = f"z{changed}"
+        texts.append(" ".join(other))
+    rows = near_dup.sketch(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=25).orderBy("doc_id").collect()
+    assert {len(r["bands"]) for r in rows} == {25}
+    told = near_dup._estimates(np.array([np.frombuffer(r["signature"], np.uint8) for r in rows]))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(596)} for t in texts]
+    for a in range(len(texts)):
+        for b in range(len(texts)):
+            assert abs(told[a, b] - 100 * len(sets[a] & sets[b]) / len(sets[a] | sets[b])) < 15
+    with pytest.raises(ValueError, match="bands"):
+        near_dup.sketch(spark.range(1).selectExpr("id doc_id", "'' text"), bands=26)
+
+
+def test_the_limit_of_near_duplicates_is_a_parameter(spark):
+    base = [f"w{i}" for i in range(104)]
+    near = base[:20] + ["x"] + base[21:80] + ["y"] + base[81:]  # 90 of 110 shingles: 0.818
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near))], "doc_id long, text string")
+    for limit, n in ((85, 2), (82, 2), (81, 1), (80, 1)):
+        assert near_dup.near_duplicates(df, limit=limit, bands=25).where("kept").count() == n
+
+
+def test_items_without_id_and_with_names(spark):
+    docs = spark.createDataFrame([(1, "A b c, d e"), (2, ""), (3, None), (4, "p q r s")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "c d e"), ("x9", "P q"), ("x10", "q R"), ("x9", "P q")], "item_id string, text string")
+    got = {r["doc_id"]: r for r in decontaminate.judge(decontaminate.scan(docs, bench)).collect()}
+    assert [(got[i]["n_hit"], got[i]["n_items"], got[i]["contaminated"]) for i in (1, 2, 3, 4)] == [(3, 0, True), (0, 0, False), (0, 0, False), (3, 2, True)]
+    assert got[4]["items_sha256"] == hashlib.sha256(b"x10,x9").hexdigest() and got[1]["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    with pytest.raises(ValueError, match="clash"):
+        decontaminate.scan(docs.withColumn("n_words", F.lit(1)), bench)
 
-    buf, offsets = spans.text_buffer(pa.array(texts))
-    s, at, _, _ = near_dup.shingle_sets(buf, offsets)
-    a, b = set(s[at[0] : at[1]].tolist()), set(s[at[1] : at[2]].tolist())
-    batch = pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int64()), pa.array(texts)], names=["doc_id", "__text"])
-    del batch
-    assert 0.8 < len(a & b) / len(a | b) < 1
+
+def test_shards_are_even_over_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_GROUPS", 100)
+    monkeypatch.setattr(sharding, "BLOCK_ROWS", 150)
+    rng = random.Random(12)
+    rows = [(i, "x" * int(rng.lognormvariate(6, 1)) + str(i)) for i in range(1500)] + [(2000 + i, "copy " * 50) for i in range(700)]
+    loads = collections.Counter()
+    placed = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    for r in placed:
+        loads[r["shard"]] += r["size"]
+    copies = {r["shard"] for r in placed if r["doc_id"] >= 2000}
+    rest = [n for k, n in loads.items() if k not in copies] if loads[min(copies)] > sum(loads.values()) / 5 * 1.01 else list(loads.values())
+    assert len(placed) == 2200 and len(copies) == 1 and max(rest) - min(rest) < 0.01 * max(rest)
+
+
+def test_hot_words(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(b"w%d" % i, int(rng.paretovariate(0.7))) for i in range(3000)] + [(b"", 2)]
+    counts = spark.createDataFrame(rows, "word binary, c long")
+    for most in (0, 20, 500, 10_000):
+        monkeypatch.setattr(lattice_lm, "HOT_WORDS", most)
+        got = {bytes(r["word"]): r["c"] for r in lattice_lm.hot_words(counts).collect()}
+        least = min((c for w, c in got.items() if w), default=None)
+        assert b"" in got and len(got) <= most + 1
+        if least is not None:
+            assert got.keys() == {w for w, c in rows if c >= least} | {b""}
+        assert len(got) > most // 4
 
 
 def test_decontamination(spark, docs):
@@ -174,6 +221,7 @@ def test_lattice(spark, docs):
     assert lattice_lm.LatticeTable(m).words(some) == pytest.approx([m.word(w) for w in some])
     rows = corpus()
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 != 0
+    table = lattice_lm.LatticeTable(lattice_lm.fit_lattice(lattice_lm.count_words(docs.where(fold))))
     for hot in (200_000, 20):
         lattice_lm.HOT_WORDS = hot
         got = {r["doc_id"]: r for r in lattice_lm.score(docs, fold).collect()}
@@ -185,7 +233,8 @@ def test_lattice(spark, docs):
             r = got[i]
             assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (zlib.crc32(str(i).encode()) % 10 == 0, len(ws), sum(w in counts for w in ws), total)
             assert r["base_score"] == pytest.approx(sum(math.log10(counts.get(w, 0) + 0.1) - below for w in ws))
-            assert r["score"] < 0
+            total_log = sum(float(x) for x in table.words([w for w in ws if w])) + table.lattice.end / math.log(10)
+            assert r["score"] == pytest.approx(total_log)
     lattice_lm.HOT_WORDS = 200_000
 
 
