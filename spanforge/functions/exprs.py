@@ -97,11 +97,11 @@ def learning_rate(step: Column, total: int, warmup: int, peak: float) -> Column:
 
 def local_path(text: Column) -> Column:
     """Whether a string names a place on one machine: absolute, home, file URL or drive."""
-    return F.coalesce(text.rlike(r"^(/|~|file://|[A-Za-z]:[\\/])"), F.lit(False))
+    return F.coalesce(text.rlike(r"^\s*(/|~|file://|[A-Za-z]:[\\/])"), F.lit(False))
 
 
 def json_strings(document: Column) -> Column:
     """All string values of a JSON text, at any depth (escapes undone)."""
     quoted = F.regexp_extract_all(document, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
     values = F.filter(quoted, lambda x: x.endswith('"'))
-    return F.transform(values, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
+    return F.from_json(F.concat(F.lit("["), F.array_join(values, ","), F.lit("]")), "array<string>")

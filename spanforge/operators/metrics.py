@@ -85,20 +85,6 @@ def area_under_risk(curve: DataFrame) -> DataFrame:
     return curve.agg(F.sum(F.col("risk") * F.col("n") / F.col("total")).alias("aurc"))
 
 
-def matched_events(reference: list[float], predicted: list[float], tolerance: float) -> int:
-    """Greedy one-to-one matches of two sorted lists within tolerance."""
-    i = j = hits = 0
-    while i < len(reference) and j < len(predicted):
-        gap = abs(reference[i] - predicted[j])
-        if gap <= tolerance or abs(gap - tolerance) <= 1e-12 * max(1.0, gap, tolerance):
-            hits, i, j = hits + 1, i + 1, j + 1
-        elif reference[i] < predicted[j]:
-            i += 1
-        else:
-            j += 1
-    return hits
-
-
 def event_matches(reference: DataFrame, predicted: DataFrame, tolerance: float) -> DataFrame:
     """source_id, boundary, n_ref, n_pred, tp from events (source_id, boundary, t).
 
@@ -112,7 +98,8 @@ def event_matches(reference: DataFrame, predicted: DataFrame, tolerance: float)
 
     def step(s: Column, _: Column) -> Column:
         a, b = F.get("r", s["i"]), F.get("p", s["j"])
-        hit = F.abs(a - b) <= tolerance + 1e-12
+        gap = F.abs(a - b)
+        hit = gap <= tolerance + 1e-12 * F.greatest(F.lit(1.0), gap)
         move = lambda di, dj, dt: F.struct((s["i"] + di).alias("i"), (s["j"] + dj).alias("j"), (s["tp"] + dt).alias("tp"))
         return F.when(a.isNull() | b.isNull(), s).when(hit, move(1, 1, 1)).when(a < b, move(1, 0, 0)).otherwise(move(0, 1, 0))
 

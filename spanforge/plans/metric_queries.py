@@ -224,8 +224,8 @@ def transform_plan_skips(spark, sf):
 _T = ", ".join(f"('{t}', {str(f).lower()})" for t, _, f in curation.TRANSFORMS)
 _SKIPS = f"""with s as (select o_orderkey % 40 / 10.0::double d, o_orderkey % 3 = 0 boxes, o_orderkey % 5 = 0 pos, transform, faithful from orders, (values {_T}) t(transform, faithful)),
  f as (select *, greatest(1, floor(d * 5.0 + 1e-9))::int fr from s), z as (select *, greatest(1, floor(fr * 0.35::double))::int a, least(fr - 1, ceil(fr * 0.68::double)::int - 1) b, greatest(2, round_even(fr * 0.16::double, 0)::int) gap from f)
- select transform, case when faithful and not pos then 'source_positive_required' when transform = 'instability' and d < 0.5 then 'window_too_short' when transform = 'freeze' and (fr < 6 or b <= a) then 'window_too_short'
-  when transform = 'cut' and (fr < 10 or (fr - gap) // 2 < 3) then 'window_too_short' when transform = 'occlude' and not boxes then 'hand_regions_missing' else 'planned' end code, count(*) n from z group by all"""
+ select transform, case when faithful and not pos then 'source_positive_required' when transform = 'camera_instability' and d < 0.5 then 'window_too_short' when transform = 'freeze' and (fr < 6 or b <= a) then 'window_too_short'
+  when transform = 'scene_cut' and (fr < 10 or (fr - gap) // 2 < 3) then 'window_too_short' when transform = 'hand_occlusion' and not boxes then 'hand_regions_missing' else 'planned' end code, count(*) n from z group by all"""
 
 
 def box_union(spark, sf):
@@ -404,7 +404,7 @@ QUERIES = {
     "contrastive_loss": (contrastive_loss, _CONTRASTIVE),
     "masked_bce": (masked_bce, f"with {bridge.ISSUE_ROWS}, l as (select issue, (score - 0.5::double) * 8 z, truth from ir where truth is not null) select issue, {sql6('avg(case when truth then 2.0::double * ln(1 + exp(-z)) else ln(1 + exp(z)) end)')} loss from l group by issue"),
     "parse_rate": (parse_rate, "with t as (select ['30000/1001', '25', '0/0', 'N/A', '24/0', '-5', '29.97', '60/1'][o_orderkey % 8 + 1] \"text\" from orders) select \"text\", floor((case \"text\" when '30000/1001' then 30000 / 1001::double when '25' then 25 when '29.97' then 29.97::double when '60/1' then 60 end) * 1e6 + 0.5) / 1e6 rate, count(*) n from t group by \"text\""),
-    "rotation_display": (rotation_display, "with t as (select ['90', '-90', 'n/a', '450', '180', ''][o_orderkey % 6 + 1] x, case when o_orderkey % 5 = 0 then 270.0::double end s from orders where o_orderkey < 100000), r as (select ((coalesce(try_cast(nullif(x, '') as double), s, 0) % 360) + 360) % 360 rotation from t) select rotation, case when rotation in (90, 270) then 1080 else 1920 end w, case when rotation in (90, 270) then 1920 else 1080 end h, count(*) n from r group by all"),
+    "rotation_display": (rotation_display, "with t as (select ['90', '-90', 'n/a', '450', '180', ''][o_orderkey % 6 + 1] x, case when o_orderkey % 5 = 0 then 270.0::double end s from orders), r as (select ((coalesce(try_cast(nullif(x, '') as double), s, 0) % 360) + 360) % 360 rotation from t) select rotation, case when rotation in (90, 270) then 1080 else 1920 end w, case when rotation in (90, 270) then 1920 else 1080 end h, count(*) n from r group by all"),
     "clock_parse": (clock_parse, "with t as (select o_orderkey % 3 h, o_orderkey % 90 k from orders) select printf('%02d:%02d:%02d.5', h, k, k) \"text\", case when k < 60 then h * 3600 + k * 60 + k + 0.5::double end \"seconds\", count(*) n from t group by all"),
     "path_validate": (path_validate, "with p as (select page_id, regexp_extract(url, '://[^/]+(/.*)', 1) p from pages) select case page_id % 3 when 1 then p not like '%?%' and p not like '%#%' else false end ok, count(*) n from p group by 1"),
     "uniform_indices": (uniform_indices, "select n, case when n <= 8 then array_to_string(range(n), ',') else array_to_string([round_even(i * ((n - 1) / 7.0::double), 0)::bigint for i in range(8)], ',') end picked from (select unnest(range(1, 40)) n)"),

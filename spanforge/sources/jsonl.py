@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators import audit
 
@@ -99,13 +102,29 @@ def canonical(value: object) -> str:
 
 
 def canonical_lines(rows: DataFrame, order: list[str]) -> DataFrame:
-    """order columns and value: each row as canonical JSON.  Python's float text differs from Spark's, so this is a pandas function."""
+    """order columns and value: each row as canonical JSON, without its nulls; a number that is not finite fails the job.
+
+    Python's float text differs from Spark's, so this runs over Arrow batches;
+    values keep their types, whatever else is in a batch.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [canonical(x) for x in batch.column(len(order)).to_pylist(maps_as_pydicts="strict")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.string())], names=[*order, "value"])
+
+    whole = rows.select(*order, F.struct(*rows.columns).alias("__row"))
+    return whole.mapInArrow(run, StructType([*whole.schema.fields[:-1], StructField("value", StringType())]))
+
+
+def canonical_text(text: Column) -> Column:
+    """A JSON text in canonical form; null stays null."""
 
     @F.pandas_udf("string")
-    def text(x: pd.DataFrame) -> pd.Series:
-        return pd.Series([canonical({k: v for k, v in r.items() if not (isinstance(v, float) and v != v)}) for r in x.to_dict("records")])
+    def again(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: None if t is None else canonical(json.loads(t)))
 
-    return rows.select(*order, text(F.struct(*rows.columns)).alias("value"))
+    return again(text)
 
 
 def write_lines(rows: DataFrame, path: str, order: list[str]) -> None:

@@ -27,7 +27,7 @@ def build(windows: DataFrame, segments: DataFrame, duration: DataFrame) -> DataF
         windows.select("source_id", F.lit(1).alias("kind"), F.col("idx").alias("index"), F.to_json(F.struct(*tag("window"), F.col("idx").alias("index"), F.col("s").alias("start_s"), F.col("e").alias("end_s"), "score", F.col("u").alias("uncertainty"))).alias("value")),
         segments.select("source_id", F.lit(2).alias("kind"), F.col("segment_index").alias("index"), F.to_json(F.struct(*tag("segment"), F.col("segment_index").alias("index"), F.col("s").alias("start_s"), F.col("e").alias("end_s"), "route", "reason", F.element_at(decision, F.col("route")).alias("decision"), "mean_score", "window_indices")).alias("value")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("value", jsonl.canonical_text(F.col("value")))
 
 
 def write(manifest: DataFrame, path: str) -> None:

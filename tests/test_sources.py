@@ -124,3 +124,25 @@ def test_streaming_matches_batch(spark, tmp_path):
     got = {(r["source_id"], r["idx"]): r["route"] for r in spark.table("routed").collect()}
     want = {(r["source_id"], r["idx"]): r["route"] for r in compiler.route_windows(spark.createDataFrame(rows, kind), CompilerPolicy()).collect()}
     assert len(got) == 40 and sum(got[k] == want[k] for k in want) >= 40
+
+
+def test_canonical_lines_keep_types_whatever_else_is_in_a_batch(spark):
+    kind = "id long, n int, x double, m map<string,double>, l array<struct<k:int,v:string>>"
+    rows = [(2, 5, 1.0, {"b": 1e-4, "a": 2.0}, [(1, None)]), (1, None, None, None, None)]
+    for some in (rows, rows[:1]):
+        got = {r["id"]: r["value"] for r in jsonl.canonical_lines(spark.createDataFrame(some, kind).coalesce(1), ["id"]).collect()}
+        assert got[2] == '{"id":2,"l":[{"k":1}],"m":{"a":2.0,"b":0.0001},"n":5,"x":1.0}'
+    assert jsonl.canonical_lines(spark.createDataFrame(rows, kind), ["id"]).where("id = 1").first()["value"] == '{"id":1}'
+    with pytest.raises(Exception, match="not a finite number"):
+        jsonl.canonical_lines(spark.createDataFrame([(1, 1, float("nan"), None, None)], kind), ["id"]).collect()
+
+
+def test_json_strings_undo_every_escape(spark):
+    from spanforge.functions import exprs
+
+    texts = [r'{"a":"\u002fetc/x","b":["c\"d",{"e":"~\n"}]}', '{"k":1}', '["  /tmp"]', '"x"']
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["s"] for r in df.select("i", exprs.json_strings(df["t"]).alias("s")).collect()}
+    assert got == {0: ["/etc/x", 'c"d', "~\n"], 1: [], 2: ["  /tmp"], 3: ["x"]}
+    bad = df.select("i", exprs.json_strings(df["t"]).alias("s")).selectExpr("i", "explode(s) v")
+    assert {r["i"] for r in bad.where(exprs.local_path(bad["v"])).collect()} == {0, 2}
