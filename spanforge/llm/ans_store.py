@@ -43,7 +43,7 @@ SEGMENT_IDS = 2 << 20
 PART_BYTES = 16 << 20
 CELLS = 4
 #: Pieces that a worker remembers (in each of two generations).
-MEMO = 50_000
+MEMO = 120_000
 SEGMENT = "part int, seq int, n_docs long, n_ids long, payload binary"
 #: Segments up to which their offsets are broadcast: 24 bytes each.
 BROADCAST_SEGMENTS = 200_000
