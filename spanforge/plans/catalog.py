@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metric_queries, segment_queries
+from . import metric_queries, record_queries, segment_queries
 
-_ALL = {**segment_queries.QUERIES, **metric_queries.QUERIES}
+_ALL = {**segment_queries.QUERIES, **metric_queries.QUERIES, **record_queries.QUERIES}
 
 
 def queries():

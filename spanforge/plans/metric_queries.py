@@ -174,7 +174,7 @@ def group_split_counts(spark, sf):
 
 
 def split_leakage(spark, sf):
-    rows = bridge.read(spark, sf, "documents").select("source", F.when(F.col("doc_id") % 10 == 0, "test").otherwise("train").alias("split"))
+    rows = bridge.read(spark, sf, "documents").select("source", F.when(F.col("doc_id") % 7 == 0, "test").otherwise("train").alias("split"))
     return splits.leaked_groups(rows, "source", "split")
 
 
@@ -193,7 +193,7 @@ def event_conflicts(spark, sf):
 
 
 def coverage_missing(spark, sf):
-    o = bridge.read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    o = bridge.read(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
     return curation.missing(bridge.read(spark, sf, "customer").select("c_custkey"), o, "c_custkey")
 
 
@@ -386,14 +386,14 @@ QUERIES = {
     "temperature": (temperature, None),
     "group_split": (group_split, "with g as (select distinct o_custkey grp from orders where o_custkey is not null), h as (select grp, row_number() over (order by sha256(encode('17') || '\\x00'::blob || encode(grp::varchar)), grp) r, count(*) over () n from g), c as (select n, (n * 8) // 10 a, n // 10 b from (select max(n) n from h)), k as (select a + case when n % 10 in (0) then 0 when (n * 8) % 10 > 0 and (n * 8) % 10 >= n % 10 then 1 when n - a - 2 * b >= 3 then 1 else 0 end a, b, n, n - a - 2 * b rest, (n * 8) % 10 fa, n % 10 fb from c) select grp \"group\", case when r <= k.a then 'train' when r <= k.a + k.b + case when rest - (k.a - (k.n * 8) // 10) >= 1 then 1 else 0 end then 'validation' else 'test' end split from h, k"),
     "group_split_counts": (group_split_counts, None),
-    "split_leakage": (split_leakage, "select source, count(distinct doc_id % 10 = 0) n_splits from documents group by source having count(distinct doc_id % 10 = 0) > 1"),
+    "split_leakage": (split_leakage, "select source, count(distinct doc_id % 7 = 0) n_splits from documents group by source having count(distinct doc_id % 7 = 0) > 1"),
     "split_support": (split_support, "select case when o_custkey % 10 = 0 then 'test' else 'train' end split, count(distinct o_custkey) \"groups\", count(*) examples, count(*) filter (o_orderkey % 3 = 0) class_0, count(*) filter (o_orderkey % 3 = 1) class_1, count(*) filter (o_orderkey % 3 = 2) class_2, count(*) filter (o_orderkey % 2 = 0) positives, count(*) filter (o_orderkey % 2 <> 0) negatives from orders group by 1"),
     "seed_search": (seed_search, """with d as (select source grp, doc_id % 3 label, toxic = 1 issue from documents left join labels using (doc_id) where source is not null), per as (select grp, sum((label = 0)::int) c0, sum((label = 1)::int) c1, sum((label = 2)::int) c2, coalesce(sum(issue::int), 0) pos, coalesce(sum((not issue)::int), 0) neg from d group by grp),
  r as (select seed, per.*, row_number() over (partition by seed order by sha256(encode(seed::varchar) || '\\x00'::blob || encode(grp)), grp) r from per, (select unnest(range(64)) seed)),
  s as (select seed, case when r <= 14 then 0 when r <= 17 then 1 else 2 end split, count(*) g, sum(c0) c0, sum(c1) c1, sum(c2) c2, sum(pos) p, sum(neg) n from r group by 1, 2)
  select min(seed) seed from (select seed from s group by seed having bool_and(least(g, c0, c1, c2, p, n) >= 1) and count(*) = 3)"""),
     "event_conflicts": (event_conflicts, "select user_id, count(*) n, count(distinct event_type) variants from events group by user_id having count(distinct event_type) > 1"),
-    "coverage_missing": (coverage_missing, "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)"),
+    "coverage_missing": (coverage_missing, "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_orderstatus = 'F')"),
     "coverage_extra": (coverage_extra, "select doc_id from documents except select doc_id from labels"),
     "build_counters": (build_counters, "select 'lang' field, lang \"value\", count(*) n from documents group by lang union all select 'source', source, count(*) from documents group by source"),
     "dataset_table": (dataset_table, "select source, lang, count(*) n from documents group by source, lang"),
