@@ -187,6 +187,7 @@ def _by_signature(limit: int):
                 yield _edge_batch(edges)
                 edges = set()
         yield _edge_batch(edges)
+        spans.release()
 
     return run
 
@@ -234,6 +235,7 @@ def _by_sets(limit: int):
                 yield _edge_batch(edges)
                 edges = set()
         yield _edge_batch(edges)
+        spans.release()
 
     return run
 

@@ -8,6 +8,7 @@ hashes, so that each distinct piece of a chunk is handled once in Python.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,8 +82,19 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]] if len(offsets) else buf[:0], offsets - (offsets[0] if len(offsets) else 0)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Gives memory that is free again back to the system: a Python worker lives on and would hold it through later stages."""
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows of the batches in runs of about `limit` bytes of text, each with its buffer and offsets."""
+    release()  # what the worker's last task left
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -93,6 +105,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at), buf[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    release()
 
 
 # Words -------------------------------------------------------------------
