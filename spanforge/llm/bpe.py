@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from . import spans
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Pieces that a worker remembers (in each of two generations), and bytes of text it handles at once: together they bound its memory.
+MEMO, CHUNK_BYTES = 100_000, 3 << 18
 
 
 class PerfectHash:
@@ -162,8 +164,8 @@ def _encoder(path: str | None, with_ids: bool) -> Callable[[Iterator[pa.RecordBa
             """Per pre-token: its number of ids, their decimal text, the bytes they decode to, the ids if asked for."""
             return [(len(ids), " ".join(map(str, ids)), c.decode(ids), ids if with_ids else None) for ids in c.encode_pieces(pieces)]
 
-        memo = spans.Memo(make)
-        for batch, buf, offsets in spans.chunks(batches, "__text"):
+        memo = spans.Memo(make, most=MEMO)
+        for batch, buf, offsets in spans.chunks(batches, "__text", CHUNK_BYTES):
             starts = spans.pretoken_starts(buf, offsets)
             pieces, index = spans.distinct_spans(buf, starts, np.append(starts[1:], len(buf)))
             count, text, raw, ids = zip(*memo.values_of(pieces), strict=True) if pieces else ((), (), (), ())
