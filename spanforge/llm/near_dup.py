@@ -44,6 +44,8 @@ BITS = 4
 LIMIT, MARGIN = 85, 15
 #: Classes, and shingles, of a chunk.
 CHUNK, CHUNK_SHINGLES = 512, 1 << 20
+#: Bytes of text whose shingles a worker makes at once; bounds its memory.
+CHUNK_BYTES = 3 << 18
 #: Classes whose ids are broadcast to find their texts: 8 bytes each; beyond, a shuffle finds them.
 BROADCAST_CLASSES = 2_000_000
 
@@ -89,7 +91,7 @@ def sketch(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: i
         raise ValueError("more bands than hash functions allow")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offsets in spans.chunks(batches, "__text"):
+        for batch, buf, offsets in spans.chunks(batches, "__text", CHUNK_BYTES):
             s, at, f1, f2 = shingle_sets(buf, offsets)
             docs = batch.num_rows
             full = np.flatnonzero(np.diff(at))
@@ -254,7 +256,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> Data
     some = rows.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_CLASSES else nodes, "node", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, buf, offsets in spans.chunks(batches, "__text"):
+        for batch, buf, offsets in spans.chunks(batches, "__text", CHUNK_BYTES):
             s, at, f1, f2 = shingle_sets(buf, offsets)
             made = [s[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f1), pa.array(f2), pa.array(made, pa.binary())], names=["node", "f1", "f2", "shingles"])
