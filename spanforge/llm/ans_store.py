@@ -239,7 +239,7 @@ def plan_parts(docs: DataFrame, text: str, doc_id: str, part_bytes: int) -> Deal
 
     weight = np.zeros(len(edges) + 2, np.int64)
     if len(edges):
-        for r in rows.mapInArrow(weigh, "cell int, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect():  # CELLS rows a part
+        for r in work.map_arrow(rows, weigh, "cell int, bytes long").groupBy("cell").agg(F.sum("bytes").alias("bytes")).collect():  # CELLS rows a part
             weight[r["cell"]] = r["bytes"]
     first, parts = np.zeros(len(weight), np.int32), np.ones(len(weight), np.int32)
     now, load = 0, 0
@@ -275,7 +275,7 @@ def tokenize(docs: DataFrame, text: str, doc_id: str, deal: Deal, end_id: int, p
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), names, pa.array(made, pa.binary())], names=["part", "doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, "part int, doc_id long, ids binary")
+    return work.map_arrow(rows, run, "part int, doc_id long, ids binary")
 
 
 def width(vocabulary: int) -> str:
@@ -335,7 +335,7 @@ def write_store(docs: DataFrame, folder: str, text: str = "text", doc_id: str =
     deal = plan_parts(docs, text, doc_id, part_bytes)
     rows = tokenize(docs, text, doc_id, deal, end_id, path)
     dealt = rows.repartitionById(deal.total, F.col("part")).sortWithinPartitions("part", "doc_id")
-    dealt.mapInArrow(_segments(width(pieces.model(path).size)), SEGMENT).write.parquet(folder)
+    work.map_arrow(dealt, _segments(width(pieces.model(path).size)), SEGMENT).write.parquet(folder)
 
 
 def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
@@ -364,4 +364,4 @@ def read_store(spark: SparkSession, folder: str, with_ids: bool = False) -> Data
                     made.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(made, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(made)])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))
+    return work.map_arrow(rows, run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))

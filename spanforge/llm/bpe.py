@@ -23,7 +23,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import spans
+from . import spans, work
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Pieces that a worker remembers (in each of two generations), and bytes of text it handles at once: together they bound its memory.
@@ -202,7 +202,7 @@ def encode(docs: DataFrame, text: str = "text", keep: list[str] | None = None, p
     rows = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), made])
-    return rows.mapInArrow(_encoder(path, with_ids), schema)
+    return work.map_arrow(rows, _encoder(path, with_ids), schema)
 
 
 def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -217,4 +217,4 @@ def decode(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFr
     if "decoded" in rows.columns:
         raise ValueError("column decoded would clash with the result")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "decoded binary"])
-    return rows.mapInArrow(run, schema)
+    return work.map_arrow(rows, run, schema)

@@ -110,7 +110,7 @@ def windows(benchmark: DataFrame, text: str, item_id: str, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(items, pa.string())], names=["words", "item"])
 
     rows = benchmark.select(F.col(text).alias("text"), F.col(item_id).cast("string").alias("item"))
-    return rows.mapInArrow(run, "words string, item string").distinct()
+    return work.map_arrow(rows, run, "words string, item string").distinct()
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", bench_text: str = "text", item_id: str = "item_id", n: int = WORDS, slice_windows: int = SLICE_WINDOWS) -> DataFrame:
@@ -129,7 +129,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", bench_text:
         for r in some.toLocalIterator():
             sets[tuple(r["words"].encode().split(b" "))].append(r["item"])
         shared = spark.sparkContext.broadcast(WindowSet(sets))
-        rows = rows.mapInArrow(_scanner(shared, text), rows.schema)
+        rows = work.map_arrow(rows, _scanner(shared, text), rows.schema)
         if k + 1 < slices:
             rows = work.table(rows)
     return rows
@@ -196,4 +196,4 @@ def remove_spans(scanned: DataFrame, text: str = "text") -> DataFrame:
                 cut.append(b"".join([*parts, data[pos : offsets[d + 1]]]).decode())
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string()) if c == text else batch.column(i) for i, c in enumerate(names)], names=names)
 
-    return scanned.mapInArrow(run, scanned.schema)
+    return work.map_arrow(scanned, run, scanned.schema)

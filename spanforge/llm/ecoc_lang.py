@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import spans
+from . import spans, work
 
 BITS = 14
 #: Labelled rows to fit on (expected number).
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", train_rows: int
             some = np.flatnonzero(s)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some, pa.int32()), pa.array(s[some], pa.int64())], names=["lang", "gram", "n"])
 
-    counted = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).mapInArrow(count, "lang string, gram int, n long")
+    counted = work.map_arrow(labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")), count, "lang string, gram int, n long")
     got = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # at most languages x 2**BITS rows
     languages = sorted(got["lang"].unique())
     table = np.zeros((len(languages), 1 << BITS))
@@ -166,4 +166,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
     rows = docs.select(*[docs[c] for c in keep], *([] if body == text else [docs[text].alias("__text")]))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "lang_pred string, score double, ambiguous boolean"])
-    return rows.mapInArrow(run, schema)
+    return work.map_arrow(rows, run, schema)

@@ -63,7 +63,7 @@ def count_words(docs: DataFrame, text: str = "text") -> DataFrame:
                 counts.clear()
         yield handed()
 
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return work.map_arrow(docs.select(F.col(text).alias("__text")), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 @dataclass(frozen=True)
@@ -201,7 +201,7 @@ def fit_lattice(counts: DataFrame, path: str | None = None) -> Lattice:
     m = sentencepiece.SentencePieceProcessor(model_file=place)
     size = m.get_piece_size()
     n = np.zeros(size)
-    for r in counts.mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+    for r in work.map_arrow(counts, run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         n[r["id"]] = r["n"]
     ends = counts.where(F.length("word") == 0).agg(F.sum("c")).first()[0] or 0
     usable = np.array([not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)) for i in range(size)])
@@ -294,7 +294,7 @@ def score(docs: DataFrame, train: Column, text: str = "text", keep: list[str] |
     fields = ["__row", *keep, "__train", "word", "times", "n_tokens", "n_known", "base", "score"]
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
     schema = ", ".join(["__row long", *(f"`{k}` {types[k]}" for k in (*keep, "__train")), "word binary, times long, n_tokens long, n_known long, base double, score double"])
-    spread = rows.mapInArrow(run, schema)
+    spread = work.map_arrow(rows, run, schema)
     joined = spread.join(counts, "word", "left")
     whole = F.col("n_tokens") > 0
     part = F.when(~whole, F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTHING)).otherwise(F.lit(0.0))

@@ -116,7 +116,7 @@ def sketch(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", bands: i
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", "n_shingles", "f1", "f2", "bands", "signature"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary")
+    return work.map_arrow(rows, run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, signature binary")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -261,7 +261,7 @@ def _texts_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str) -> Data
             made = [s[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f1), pa.array(f2), pa.array(made, pa.binary())], names=["node", "f1", "f2", "shingles"])
 
-    return some.mapInArrow(run, "node long, f1 long, f2 long, shingles binary")
+    return work.map_arrow(some, run, "node long, f1 long, f2 long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = LIMIT, bands: int = BANDS) -> DataFrame:
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     members = work.join_hot(keys, buckets, ["g"], "size", total)
     pieces = _chunked(members.select("g", "node", "size"), F.ceil(F.col("size") / CHUNK)).join(heads.select("node", "signature"), "node")
     close = pieces.select("g", "i", "j", "node", "signature").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    groups = work.table(components(close.mapInArrow(_by_signature(limit), "a long, b long")))
+    groups = work.table(components(work.map_arrow(close, _by_signature(limit), "a long, b long")))
     # Exact similarities within candidate groups.
     sized = groups.join(chosen, "node")
     sizes = work.table(sized.groupBy("component").agg(F.count("*").alias("size"), F.sum("n").alias("total")))
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     chunks = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("total") / CHUNK_SHINGLES))
     exact = _chunked(placed.select("g", "node", "f1", "f2", "size", "total").join(sets, ["node", "f1", "f2"]), chunks)
     exact = exact.select("g", "i", "j", "node", "shingles").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
-    linked = work.table(components(exact.mapInArrow(_by_sets(limit), "a long, b long")))
+    linked = work.table(components(work.map_arrow(exact, _by_sets(limit), "a long, b long")))
     named = classes.join(linked, "node", "left").select("f1", "f2", "copies", F.coalesce("component", "node").alias("component_id"))
     named = work.table(named)
     some = work.join_hot(all_rows.where("n_shingles > 0").select("doc_id", "n_shingles", "f1", "f2"), named, ["f1", "f2"], "copies", total)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from . import pieces, spans
+from . import pieces, spans, work
 
 
 def token_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = None, limit: int = 1024, path: str | None = None) -> DataFrame:
@@ -60,4 +60,4 @@ def token_counts(docs: DataFrame, text: str = "text", keep: list[str] | None = N
 
     rows = docs.select(*[docs[c] for c in keep], docs[text].alias("__text"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"), "n_bytes long, n_tokens long, over_limit boolean"])
-    return rows.mapInArrow(run, schema)
+    return work.map_arrow(rows, run, schema)

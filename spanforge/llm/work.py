@@ -33,6 +33,19 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that Spark hands to a Python worker at once, unless the session says otherwise; by default 64 MB, held by both sides of each task.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 3 << 20
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) over batches of bounded bytes."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH, None) is None:
+        conf.set(BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 #: A key is hot from this share of all rows on; so at most as many keys as its inverse are hot.
 HOT_SHARE = 1 / 2000
 HOT_LEAST = 1000
