@@ -255,6 +255,20 @@ def plan_parts(docs: DataFrame, text: str, doc_id: str, part_bytes: int) -> Deal
     return Deal(edges, first, parts)
 
 
+def _joined(known: list[bytes], index: np.ndarray, at: np.ndarray, kind: str) -> pa.Array:
+    """Each document's ids as one binary value: those of its pieces index[at[d]:at[d + 1]], then the last of known, the end."""
+    flat = np.frombuffer(b"".join(known), kind)
+    sizes = np.fromiter(map(len, known), np.int64, len(known)) // flat.itemsize
+    order = np.insert(index, at[1:], len(known) - 1)
+    taken = sizes[order]
+    ends = np.cumsum(taken)
+    place = np.repeat((np.cumsum(sizes) - sizes)[order] - ends + taken, taken)
+    place += np.arange(len(place))
+    # A document's end stands behind its pieces and the ends of those before it.
+    stops = ends[at[1:] + np.arange(len(at) - 1)] * flat.itemsize
+    return pa.Array.from_buffers(pa.large_binary(), len(stops), [None, pa.py_buffer(np.append(0, stops)), pa.py_buffer(flat[place])]).cast(pa.binary())
+
+
 def tokenize(docs: DataFrame, text: str, doc_id: str, deal: Deal, end_id: int, path: str | None) -> DataFrame:
     """part, doc_id and ids (little-endian, of 16 bits, or 32 where the vocabulary needs them) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(deal)
@@ -262,17 +276,16 @@ def tokenize(docs: DataFrame, text: str, doc_id: str, deal: Deal, end_id: int, p
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = pieces.model(path)
         kind = width(m.size)
-        memo = spans.Memo(lambda some: [np.array(m.ids(p), kind).tobytes() for p in some], most=MEMO)
-        end = np.array([end_id], kind).tobytes()
+        form = "<%d" + ("H" if kind == "<u2" else "I")
+        memo = spans.Memo(lambda some: [struct.pack(form % len(x), *x) for x in map(m.ids, some)], most=MEMO)
+        end = struct.pack(form % 1, end_id)
         for batch, buf, offsets in spans.chunks(batches, "__text"):
             starts = m.split(buf, offsets)
             distinct, index = spans.distinct_spans(buf, starts, np.append(starts[1:], len(buf)))
-            known = memo.values_of(distinct)
-            at = np.searchsorted(starts, offsets).tolist()
-            made = [b"".join([known[i] for i in index[a:b].tolist()]) + end for a, b in zip(at, at[1:], strict=False)]
+            made = _joined([*memo.values_of(distinct), end], index, np.searchsorted(starts, offsets), kind)
             names = batch.column(batch.schema.get_field_index("doc_id"))
             part = shared.value.part_of(names, buf, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), names, pa.array(made, pa.binary())], names=["part", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), names, made], names=["part", "doc_id", "ids"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("__text"))
     return work.map_arrow(rows, run, "part int, doc_id long, ids binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 
 import numpy as np
@@ -13,7 +14,8 @@ VOCABULARY = "byte_bpe_50k.json"
 
 # Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others follow from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-_ALPHABET = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_OTHERS = {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+_ALPHABET = "".join(_OTHERS.get(b, chr(b)) for b in range(256))
 
 
 class PieceModel:
@@ -37,7 +39,7 @@ class PieceModel:
     def ids(self, piece: bytes) -> list[int]:
         if piece in self.special:
             return [self.special[piece]]
-        return [t.id for t in self.model.tokenize(piece.decode("latin-1").translate(_ALPHABET))]
+        return [t.id for t in self.model.tokenize(codecs.charmap_decode(piece, "strict", _ALPHABET)[0])]
 
     def split(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Starts of the pieces; a special string inside a text cuts it and is one piece."""

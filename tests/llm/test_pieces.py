@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import sys
 import zlib
 
 import numpy as np
@@ -112,6 +113,37 @@ def test_special_strings_split_as_the_library_does():
         assert ids == LIBRARY.encode(t or "", add_special_tokens=False).ids
 
 
+def test_store_takes_no_python_step_for_each_token(spark, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(ans_store.work, "map_arrow", lambda rows, run, schema: run)
+    none = spark.createDataFrame([], "doc_id long, text string")
+    run = ans_store.tokenize(none, "text", "doc_id", ans_store.plan_parts(none, "text", "doc_id", 1000), 0, None)
+
+    def steps(n):
+        said = [None, "word it's " * n, "", "x<|endoftext|>", "漢 1"]
+        count = 0
+
+        def trace(frame, event, arg):
+            nonlocal count
+            frame.f_trace_opcodes = True
+            count += event == "opcode"
+            return trace
+
+        before = sys.gettrace()
+        sys.settrace(trace)
+        try:
+            out = list(run(iter([pa.RecordBatch.from_pydict({"doc_id": pa.array([4, None, 3, 2, 1]), "__text": pa.array(said)})])))
+        finally:
+            sys.settrace(before)
+        got = [np.frombuffer(b, "<u2").tolist() for batch in out for b in batch.column(2).to_pylist()]
+        assert got == [[*LIBRARY.encode(t or "", add_special_tokens=False).ids, 0] for t in said]
+        return count
+
+    steps(1)
+    assert steps(20_000) < 2 * steps(20)
+
+
 def test_empty_table_and_clashing_columns(spark):
     none = spark.createDataFrame([], "doc_id long, text string, n_tokens long, extra string")
     assert bpe.encode(none).count() == token_counts.token_counts(none).count() == 0
